@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaylake.llm import bpe
-from assaylake.llm.common import documents
+from assaylake.llm import bpe, language_id, repetition
+from assaylake.llm.common import documents, is_held_out
 
 #: Folder of the public vocabulary files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = is_held_out(F.col("doc_id"))
+    model = language_id.train(docs, ~held_out)
+    found = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_suffix_repetition": op2_suffix_repetition,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "pipeline": corpus_pipeline.run,
     }
