@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, language_id, repetition
+from assaylake.llm import bpe, language_id, packing, repetition, secrets, substring_dedup
 from assaylake.llm.common import documents, is_held_out
 
 #: Folder of the public vocabulary files; never copied into the repository.
@@ -27,15 +27,31 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(documents(spark, sf_dir))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return secrets.digest(docs, secrets.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_suffix_repetition": op2_suffix_repetition,
+        "op3_sentence_spans": op3_sentence_spans,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op9_secret_scan": op9_secret_scan,
         "pipeline": corpus_pipeline.run,
     }
 
