@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, language_id, packing, repetition, secrets, substring_dedup
+from assaylake.llm import bpe, language_id, packing, repetition, secrets, sharding, substring_dedup, url_filter
 from assaylake.llm.common import documents, is_held_out
 
 #: Folder of the public vocabulary files; never copied into the repository.
@@ -39,11 +39,19 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return secrets.digest(docs, secrets.train(docs))
 
 
+def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -51,10 +59,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_spans": op3_sentence_spans,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op8_histogram_sort": op8_histogram_sort,
         "op9_secret_scan": op9_secret_scan,
+        "op10_temporal_url_filter": op10_temporal_url_filter,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+    return {k: v for k, v in {"op10_temporal_url_filter": url_filter.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
