@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, language_id, packing, repetition, secrets, sharding, substring_dedup, url_filter
+from assaylake.llm import bpe, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, url_filter
 from assaylake.llm.common import documents, is_held_out
 
 #: Folder of the public vocabulary files; never copied into the repository.
@@ -35,6 +35,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_repetition": op2_suffix_repetition,
         "op3_sentence_spans": op3_sentence_spans,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_chosen_path": op5_chosen_path,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op8_histogram_sort": op8_histogram_sort,
         "op9_secret_scan": op9_secret_scan,
