@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, url_filter
-from assaylake.llm.common import documents, is_held_out
+from assaylake.llm import bpe, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, topk, url_filter
+from assaylake.llm.common import documents, is_held_out, ship
 
 #: Folder of the public vocabulary files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -43,6 +43,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return topk.query(spark, sf_dir)
+
+
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_chosen_path": op5_chosen_path,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_threshold_top_k": op7_threshold_top_k,
         "op8_histogram_sort": op8_histogram_sort,
         "op9_secret_scan": op9_secret_scan,
         "op10_temporal_url_filter": op10_temporal_url_filter,
@@ -72,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op10_temporal_url_filter": url_filter.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+    return {k: v for k, v in {"op7_threshold_top_k": topk.SQL, "op10_temporal_url_filter": url_filter.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -9,12 +9,58 @@ last stage return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from assaylake.llm import language_id, near_dup, packing, secrets, substring_dedup
+from assaylake.llm.common import cut, documents, is_held_out
+
+#: An ambiguous language goes only where the nearest codeword is less likely than this.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no letter at all, or no codeword near enough."""
+    model = language_id.train(docs, ~is_held_out(F.col("doc_id")))
+    found = language_id.predict(docs, model)
+    undecided = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
+    return found.where(~undecided).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dup.dedup_documents(docs)
+
+
+def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove sentences under a repeated span; a document left without a word goes."""
+    return substring_dedup.dedup_documents(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret found."""
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_spans),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: The stages hold trained models and graph closures that SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
