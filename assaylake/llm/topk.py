@@ -130,13 +130,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: The same search for DuckDB.
 SQL = f"""
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor({SCALE} * cast(x as double)) as bigint)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as e
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) as score
+         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
   from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)
   where q.vec_id % {EVERY} = 0),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
