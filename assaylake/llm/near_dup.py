@@ -10,10 +10,10 @@ depth. TREES independent trees bring the chance to miss a pair at the
 threshold under one in a million.
 
 Candidates first pass a test on minwise tokens, then every link is confirmed
-on full sets. What is left in large nodes after the last depth is finished by
-rounds: as long as such a node holds classes of several components, each
-class is compared, in blocks, with those of other components, the nearest are
-confirmed on full sets, and the rounds end when one adds no link.
+on full sets. As pivots and deep branches may miss links within large nodes,
+these are finished once components are known: the classes outside a node's
+largest component are compared, in blocks, with all that it holds, and what
+passes the same test is confirmed on full sets.
 
 Components are closed under the links by minimum labels with pointer jumping.
 Every step is a join or an aggregate over narrow rows; texts are exchanged
@@ -44,9 +44,8 @@ SMALL = 32
 #: Agreeing minwise tokens that a candidate needs. At a similarity of 0.85 fewer come up once in a million.
 LEAST_AGREEING = 40
 
-#: Rows of a block, and nearest classes that a class is confirmed against, in a finishing round.
-BLOCK = 1024
-NEAREST = 8
+#: Classes of a block when large nodes are finished.
+BLOCK = 512
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(2024)
@@ -147,8 +146,9 @@ def _pairs_within(ids: str) -> F.Column:
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of class keys from all trees, and the rows (node, key) of large nodes at the last depth."""
+    """Pairs of class keys from all trees, and the rows (node, key) of large nodes at the first depth."""
     found: list[DataFrame] = []
+    first = None
 
     def child(tree: int, depth: int, parent: F.Column) -> F.Column:
         tokens = [F.col("tokens")[c] for c in _COORDINATES[tree][STEP * depth : STEP * (depth + 1)]]
@@ -162,14 +162,15 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         found.append(cut(small.select(F.explode(_pairs_within("ids")).alias("p")).select("p.a", "p.b").distinct(), f"small-{depth}"))
         large = cut(held.where(F.col("n") > SMALL).select("tree", "node", "key", "pivot"), f"large-{depth}")
         if large.isEmpty():
-            return reduce(DataFrame.unionByName, found), None
+            break
+        first = large if first is None else first
         found.append(large.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct())
         if depth + 1 < DEPTHS:
             deeper = F.lit(None).cast("long")
             for t in range(TREES):
                 deeper = F.when(F.col("tree") == t, child(t, depth + 1, F.col("node"))).otherwise(deeper)
             rows = large.join(classes.select("key", "tokens"), "key").select("key", "tree", deeper.alias("node"))
-    return reduce(DataFrame.unionByName, found), large
+    return reduce(DataFrame.unionByName, found), first
 
 
 def _agreeing(x: str, y: str) -> F.Column:
@@ -212,57 +213,74 @@ def components(links: DataFrame) -> DataFrame:
         total = now
 
 
-def _nearest(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each class of one pair of blocks the nearest classes of other components."""
-    i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    one, two = frame[frame["block"] == i], frame[frame["block"] == j]
-    x, y = np.stack(one["tokens"].to_numpy()), np.stack(two["tokens"].to_numpy()) if len(two) else None
-    out = set()
-    if y is not None:
-        keys, labels = two["key"].to_numpy(), two["label"].to_numpy()
-        for key, label, tokens in zip(one["key"], one["label"], x, strict=True):
-            agree = np.where(labels != label, (y == tokens).sum(1), 0)
-            for at in np.argsort(-agree, kind="stable")[:NEAREST]:
-                if agree[at] >= LEAST_AGREEING:
-                    out.add((min(key, keys[at]), max(key, keys[at])))
-    return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-
-def unfinished(large: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nearest pairs across components within large nodes of the last depth."""
-    known = large.select("node", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = known.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = known.join(cut(mixed.select("node", blocks.alias("blocks")), "mixed-nodes"), "node").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = dealt.select("node", "key", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = spread.select("node", "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return paired.join(classes.select("key", "tokens"), "key").groupBy("node", "i", "j").applyInPandas(_nearest, "a long, b long").distinct()
+def _linked(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block of classes and another, across components, confirmed on full sets.
+
+    A pair that agrees on the tokens of an earlier tree's node is left to that
+    tree, so each pair is confirmed once.
+    """
+    out = []
+    if len(one) and len(two):
+        tree = int(one["tree"].iloc[0])
+        earlier = [_COORDINATES[t][:STEP] for t in range(tree)]
+        y, keys, labels, sizes = np.stack(two["tokens"].to_numpy()), two["key"].to_numpy(), two["label"].to_numpy(), two["n_shingles"].to_numpy()
+        sets = two["set"].to_numpy()
+        for key, label, size, tokens, own in zip(one["key"], one["label"], one["n_shingles"], one["tokens"], one["set"], strict=True):
+            may = np.flatnonzero((labels != label) & (100 * np.minimum(size, sizes) >= PERCENT * np.maximum(size, sizes)))
+            same = y[may] == np.asarray(tokens)
+            good = same.sum(1) >= LEAST_AGREEING
+            for c in earlier:
+                good &= ~same[:, c].all(1)
+            may = may[good]
+            if not len(may):
+                continue
+            joined, starts = np.concatenate(sets[may]), np.concatenate([[0], sizes[may].cumsum()[:-1]])
+            own = np.sort(np.asarray(own))
+            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            both = np.add.reduceat(hit.astype(np.int64), starts)
+            out += [(min(key, k), max(key, k)) for k in keys[may][100 * both >= PERCENT * (size + sizes[may] - both)]]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def finished(large: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components within large nodes.
+
+    In each node the classes outside its largest component are compared with
+    all that it holds, block by block; a node of one component has none.
+    """
+    known = cut(large.select("tree", "node", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "known")
+    counted = known.groupBy("node", "label").agg(F.count("*").alias("n"))
+    mixed = (
+        counted.groupBy("node")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        .where("n > most.n")
+        .select("node", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("groups"))
+    )
+    held = known.join(cut(mixed, "mixed-nodes"), "node")
+    block, group = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int")
+    shown = classes.select("key", "n_shingles", "tokens").join(sets, "key")
+    own = held.where("label <> main").select("tree", "node", "key", "label", group.alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(shown, "key")
+    theirs = held.select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(shown, "key")
+    by = ("node", "group", "block")
+    theirs = theirs.toDF(*theirs.columns)  # names of its own for the cogroup
+    return own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(_linked, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, label) of classes that have a link."""
     pairs, large = candidates(classes)
-    reps = classes.select("key", "rep")
-
-    def check(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        asked = cut(likely(some, classes), "likely-pairs")
-        keys = asked.select(F.col("a").alias("key")).union(asked.select("b")).distinct()
-        wanted = keys.join(reps, "key").select(F.col("rep").alias("doc_id")).distinct()
-        sets = cut(_sets(docs.where("text is not null").join(wanted, "doc_id", "left_semi")).groupBy("key").agg(F.first("set").alias("set")), "sets")
-        return asked.select("a", "b"), cut(confirmed(asked, sets), "links")
-
-    asked, links = check(pairs)
+    asked = cut(likely(pairs, classes), "likely-pairs")
+    keys = asked.select(F.col("a").alias("key")).union(asked.select("b"))
+    if large is not None:
+        keys = keys.union(large.select("key"))
+    wanted = keys.distinct().join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(_sets(docs.where("text is not null").join(wanted, "doc_id", "left_semi")).groupBy("key").agg(F.first("set").alias("set")), "sets")
+    links = cut(confirmed(asked, sets), "links")
     labels = components(links)
-    while large is not None:
-        more = cut(unfinished(large, classes, labels).join(asked, ["a", "b"], "left_anti"), "more-pairs")
-        if more.isEmpty():
-            break
-        tried, added = check(more)
-        if added.isEmpty():
-            break
-        asked, links = asked.unionByName(tried), links.unionByName(added)
-        labels = components(links)
-    return labels
+    if large is None:
+        return labels
+    more = cut(finished(large, classes, labels, sets), "more-links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
