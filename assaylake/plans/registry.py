@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaylake.plans import monitoring
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
+_MODULES = (monitoring,)
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """The verdict of every monitoring round under both rules."""
+    return monitoring.screen_two_rules(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for module in _MODULES for k, v in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for module in _MODULES for k, v in module.SQL.items()}
