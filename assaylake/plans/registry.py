@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.plans import monitoring
+from assaylake.plans import monitoring, texts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-_MODULES = (monitoring,)
+_MODULES = (monitoring, texts)
 
 
 def entry(spark: SparkSession) -> DataFrame:
