@@ -111,21 +111,22 @@ def boilerplate(pages: DataFrame, edge: int = 3, share: float = 0.3, least_pages
     return counted.join(totals, "doc").where(F.col("n_pages") >= F.greatest(F.lit(2), F.floor(F.col("pages") * share))).select("doc", "key", "n_pages")
 
 
-def copied_runs(texts: DataFrame, sources: DataFrame, longest_allowed: int = 10) -> DataFrame:
+def copied_runs(texts: DataFrame, sources: DataFrame, longest_allowed: int = 10, within: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, n_runs, longest): runs of more than ``longest_allowed`` words that a text shares with a source.
 
     Word runs meet by hash and are compared in full; matched places on one
-    diagonal that follow each other are one run of maximal length.
+    diagonal that follow each other are one run of maximal length. ``within``
+    names columns of both sides that must be equal.
     """
     size = longest_allowed + 1
 
     def grams(rows: DataFrame, key: str, place: str) -> DataFrame:
-        held = rows.select(key, tokens(F.col("text")).alias("t")).where(F.size("t") >= size)
+        held = rows.select(key, *within, tokens(F.col("text")).alias("t")).where(F.size("t") >= size)
         parts = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.array_join(F.slice("t", i, size), " "))
-        return held.select(key, F.posexplode(parts).alias(place, "gram")).withColumn("h", F.xxhash64("gram"))
+        return held.select(key, *within, F.posexplode(parts).alias(place, "gram")).withColumn("h", F.xxhash64("gram"))
 
     a, b = grams(texts, "doc_id", "i"), grams(sources, "item_id", "k")
-    hit = a.join(b, ["h", "gram"]).select("doc_id", "item_id", "i", (F.col("i") - F.col("k")).alias("diagonal"))
+    hit = a.join(b, ["h", "gram", *within]).select("doc_id", "item_id", "i", (F.col("i") - F.col("k")).alias("diagonal"))
     line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i")
     islands = hit.withColumn("island", F.col("i") - F.row_number().over(line))
     runs = islands.groupBy("doc_id", "item_id", "diagonal", "island").agg((F.count("*") + longest_allowed).alias("length"))

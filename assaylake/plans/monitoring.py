@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaylake.functions import exact
-from assaylake.operators import reconcile, screening
-from assaylake.session import table
+from assaylake.operators import claims, drafting, reconcile, screening
+from assaylake.session import ship, table
 
 LOR = 5
 
@@ -236,7 +236,36 @@ def linked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.linked_samples(field).groupBy("blank", "blank_type").agg(F.count("*").alias("n_linked"), F.min("sample_id").alias("first_sample"))
 
 
+# --- prose over the events adapter ---------------------------------------------
+
+
+def fill_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One template for each well and its last round; wells without a click result that day get no text."""
+    found = results(spark, sf_dir)
+    last = found.groupBy("well").agg(F.max("date").alias("date"))
+    day = F.concat_ws("|", "well", F.date_format("date", "yyyy-MM-dd"))
+    templates = last.select(
+        F.col("well").alias("text_id"),
+        F.col("well").cast("string").alias("well"),
+        F.concat(F.lit("Clicks were {click|"), day, F.lit("}, reported down to {lor|click|"), day, F.lit("}; the value is {limit|purchase|two-part}.")).alias("text"),
+    )
+    return drafting.fill(templates, found, limits(spark)).select("text_id", "ok", "text", "n_values")
+
+
+def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detected view of a well's last round as a sentence, a third of them off by 0.01."""
+    ship(spark)
+    found = results(spark, sf_dir)
+    views = screening.latest_round(found).where("analyte = 'view' and value is not null")
+    said = exact.shown(F.col("value") + F.when(F.col("well") % 3 == 0, Decimal("0.01")).otherwise(Decimal("0")))
+    paragraphs = views.select(F.col("well").alias("paragraph_id"), "well", F.concat(F.lit("View was "), said, F.lit(" ug/L on "), F.date_format("date", "yyyy-MM-dd"), F.lit(". The site is polluted.")).alias("text"))
+    screened = screening.screen_rounds(found, limits(spark))
+    return claims.check(paragraphs, found, screened, ["click", "view", "error", "purchase", "signup"], {"two-part": "two-part rule", "single": "single rule"}).select("paragraph_id", "kind", "status")
+
+
 QUERIES = {
+    "fill_templates": fill_templates,
+    "claim_check": claim_check,
     "screen_two_rules": screen_two_rules,
     "screen_limits": screen_limits,
     "rules_agree": rules_agree,
@@ -262,7 +291,25 @@ _UNIT_LINES = """
          l_orderkey as row, l_suppkey || '-' || l_returnflag as sample_id, cast(l_quantity as decimal(18,9)) as amount
   from lineitem"""
 
+_SHOWN = "case when contains(cast({0} as varchar), '.') then rtrim(rtrim(cast({0} as varchar), '0'), '.') else cast({0} as varchar) end"
+
 SQL = {
+    "fill_templates": f"""
+with results as ({RESULTS}), last as (select well, max(date) as date from results group by well),
+found as (select l.well, r.lor, case when r.value is null then '<' || {_SHOWN.format('r.lor')} else {_SHOWN.format('r.value')} end as shown
+          from last l left join results r on l.well = r.well and l.date = r.date and r.analyte = 'click')
+select well as text_id, lor is not null as ok,
+       case when lor is not null then 'Clicks were ' || shown || ' ug/L, reported down to {LOR} ug/L; the value is 115 ug/L.' end as text,
+       case when lor is not null then 3 else 0 end::bigint as n_values
+from found""",
+    "claim_check": f"""
+with results as ({RESULTS}), last as (select well, max(date) as date from results group by well),
+views as (select r.well, r.date, r.value + case when r.well % 3 = 0 then 0.01 else 0 end as said from results r join last l on r.well = l.well and r.date = l.date where r.analyte = 'view' and r.value is not null)
+select v.well as paragraph_id, 'result' as kind,
+       case when exists (select 1 from results r where r.well = v.well and r.analyte = 'view' and r.date = v.date and r.value = v.said) then 'consistent'
+            when exists (select 1 from results r where r.well = v.well and r.analyte = 'view' and r.value = v.said) then 'inconsistent' else 'untraced' end as status
+from views v
+union all select well, 'judgement', 'not checked' from views""",
     "screen_two_rules": f"with {SCREENED}, {_COMPARED} select * from compared",
     "screen_limits": f"with {SCREENED} select * from screened",
     "rules_agree": f"with {SCREENED}, {_COMPARED} select well, date, count(distinct overall) = 1 as rules_agree from compared group by all",

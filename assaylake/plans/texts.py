@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.functions import prose
-from assaylake.operators import retrieval
+from assaylake.operators import answers, retrieval
 from assaylake.session import ship, table
 from assaylake.streaming import limits
 
@@ -101,7 +101,18 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.limit_batch(requests, WINDOWS)
 
 
+def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each assistant turn as an answer to the turn before it, which is its passage 1."""
+    ship(spark)
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("answer_id"), "conv_id", "turn", "role", "text")
+    said = turns.where("role = 'assistant'").select("answer_id", "text")
+    passages = turns.where("role = 'user'").select(F.concat_ws("/", "conv_id", (F.col("turn") + 1)).alias("answer_id"), F.lit(1).alias("number"), F.col("text").alias("body"), F.lit(True).alias("reusable"))
+    values = spark.createDataFrame([], "answer_id string, marker string, rule string, value decimal(18,9)")
+    return answers.verify(said, passages, values).select("answer_id", "name", "passed")
+
+
 QUERIES = {
+    "answer_check": answer_check,
     "passage_windows": passage_windows,
     "boilerplate_lines": boilerplate_lines,
     "word_histogram": word_histogram,

@@ -47,7 +47,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def limit_stream(requests: DataFrame, windows: tuple[Window, ...]) -> DataFrame:
-    """Decisions for a stream of (key, ts); keys without requests for the longest window are forgotten."""
+    """Decisions for a stream of (key, ts).
+
+    Requests may come late by as much as the longest window; later ones are
+    dropped by the watermark. A key whose last request is older than that is
+    forgotten, so the state follows the keys that are active.
+    """
     longest = max(seconds for _, seconds, _ in windows)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,14 +63,14 @@ def limit_stream(requests: DataFrame, windows: tuple[Window, ...]) -> DataFrame:
         times = [t for frame in frames for t in frame["ts"]]
         rows, hits = _run(key[0], times, hits, windows)
         state.update((hits,))
-        state.setTimeoutDuration(longest * 1000)
+        state.setTimeoutTimestamp(int((max(times).timestamp() + longest) * 1000))
         yield _frame(rows)
 
-    return requests.groupBy("key").applyInPandasWithState(step, SCHEMA, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", f"{longest} seconds").groupBy("key").applyInPandasWithState(step, SCHEMA, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limit_batch(requests: DataFrame, windows: tuple[Window, ...]) -> DataFrame:
-    """The same decisions over a table; one group for each key and day block is not possible, as windows roll on."""
+    """The same decisions over a table. Each depends on those before it, so the requests of a key are one group."""
 
     def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _frame(_run(key[0], frame["ts"], [], windows)[0])
