@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.plans import monitoring, texts
+from assaylake.plans import monitoring, reading, texts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-_MODULES = (monitoring, texts)
+_MODULES = (monitoring, texts, reading)
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "key string, ts timestamp, allowed boolean, window string, retry_after int"
@@ -70,9 +71,26 @@ def limit_stream(requests: DataFrame, windows: tuple[Window, ...]) -> DataFrame:
 
 
 def limit_batch(requests: DataFrame, windows: tuple[Window, ...]) -> DataFrame:
-    """The same decisions over a table. Each depends on those before it, so the requests of a key are one group."""
+    """The same decisions over a table.
+
+    Each depends on those before it, so the requests of a key run past one task
+    in order of time; it holds the allowed times of the current key only, never
+    the key's requests.
+    """
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, hits = None, []
+        for frame in frames:
+            out: list[tuple] = []
+            for name, part in frame.groupby("key", sort=False):
+                rows, hits = _run(name, part["ts"], hits if name == key else [], windows)
+                key = name
+                out.extend(rows)
+            yield _frame(out)
+
+    return requests.select("key", "ts").repartition("key").sortWithinPartitions("key", "ts").mapInPandas(step, SCHEMA)
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_run(key[0], frame["ts"], [], windows)[0])
 
-    return requests.groupBy("key").applyInPandas(step, SCHEMA)
+def status_counts(decisions: DataFrame) -> DataFrame:
+    """(allowed, window, n): decisions by outcome, for a table or a stream."""
+    return decisions.groupBy("allowed", "window").agg(F.count("*").alias("n"))
