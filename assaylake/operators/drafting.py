@@ -142,3 +142,25 @@ def offsets(solved: DataFrame, templates: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("text_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("before") + F.length("fill")).over(earlier), F.lit(0)) + F.length("before")
     return joined.select("text_id", "pos", start.alias("start"), (start + F.length("fill")).alias("end"))
+
+
+def numbered_sources(solved: DataFrame) -> DataFrame:
+    """(text_id, pos, kind, reference, source): sources numbered from 1 by first use, one number for each (kind, reference) of a text."""
+    kind = F.when(F.col("head") == "limit", "guideline").otherwise("laboratory")
+    rows = solved.select("text_id", "pos", kind.alias("kind"), F.lower(F.array_join("f", "|")).alias("reference"))
+    first = rows.withColumn("first", F.min("pos").over(Window.partitionBy("text_id", "kind", "reference")))
+    return first.select("text_id", "pos", "kind", "reference", F.dense_rank().over(Window.partitionBy("text_id").orderBy("first")).alias("source"))
+
+
+#: Stands for a filled value while the text around it is redacted; too long for the parts of a name to be joined by it.
+_GAP = "\ue000" * 9
+
+
+def fill_redacted(templates: DataFrame, results: DataFrame, limits: DataFrame, redact) -> DataFrame:
+    """:func:`fill` with identifiers masked by a redactor; filled values are never changed, and ``counts`` says what was masked."""
+    masked = templates.withColumn("r", redact(F.array_join(F.split("text", PLACEHOLDER), _GAP)))
+    around = F.split("r.text", _GAP)
+    bodies = F.regexp_extract_all("text", F.lit(PLACEHOLDER), F.lit(0))
+    again = F.array_join(F.zip_with(around, bodies, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    rewritten = masked.select("text_id", "well", again.alias("text"), F.col("r.counts").alias("counts"))
+    return fill(rewritten.drop("counts"), results, limits).join(rewritten.select("text_id", "counts"), "text_id")
