@@ -28,7 +28,7 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return substring_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), every_length=True)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ corpus meet by hash; a run that occurs more than once keeps its first
 occurrence, by document and place, and every sentence that a later occurrence
 covers is removed, within a document as well as across documents.
 
+With ``every_length`` sentences of more than LONG words are cut into pieces at
+words that their hashes choose, so the same passage is cut alike in whatever
+sentence it lies. Beside the runs of SPAN sentences, the shortest runs of
+MIN_WORDS words from each piece on, and up to each piece, are hashed: one
+piece, or many short lines. Every piece of a repeated passage lies in one.
+
 Only hashes and places are exchanged. Counts and first places are aggregated
 on the map side before the exchange, so a passage that a third of all documents
 share arrives as one row from each task. The repeated hashes are written as a
@@ -17,9 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +38,14 @@ from assaylake.llm.common import batches, cut, ship
 SPAN = 2
 MIN_WORDS = 12
 
+#: Sentences of more words are cut into pieces of LEAST_PIECE to LONG words, after one word in CUT_EVERY.
+LONG, LEAST_PIECE, CUT_EVERY = 24, 4, 8
+
 _cut = re.compile(r"[.!?]\s+|\n\s*")
 
-RUNS = "row_key long, doc_id long, at int, hash long, check int"
+_NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int32),)
+
+RUNS = "row_key long, doc_id long, at int, size int, hash long, check int"
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -50,52 +62,122 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def run_hashes(text: str, span: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(place, 64-bit hash, 32-bit check) of each run that has enough words."""
-    words = [w for _, _, w in sentences(text)]
-    joined = [" ".join(w) for w in words]
-    counts = list(map(len, words))
-    for i in range(len(words) - span + 1):
-        if sum(counts[i : i + span]) >= min_words:
-            digest = hashlib.blake2b("\n".join(joined[i : i + span]).encode("utf-8", "surrogatepass"), digest_size=12).digest()
-            yield i, *struct.unpack("<qi", digest)
+_spaced = re.compile(r"\S+\s*")
+
+
+def pieces(text: str) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
+    """Pieces of all sentences like ``sentences``, and the number of its sentence for each."""
+    out: list[tuple[int, int, list[str]]] = []
+    owners: list[int] = []
+    for number, (start, end, words) in enumerate(sentences(text)):
+        first = len(out)
+        if len(words) > LONG:
+            starts = [start + m.start() for m in _spaced.finditer(text[start:end])]
+            at = 0
+            for i in range(1, len(words)):
+                if i - at >= LONG or (i - at >= LEAST_PIECE and zlib.crc32(words[i - 1].encode("utf-8", "surrogatepass")) % CUT_EVERY == 0):
+                    out.append((starts[at] if at else start, starts[i], words[at:i]))
+                    at = i
+            out.append((starts[at] if at else start, end, words[at:]))
+        else:
+            out.append((start, end, words))
+        owners += [number] * (len(out) - first)
+    return out, owners
+
+
+def units(text: str, every_length: bool) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
+    """What runs are made of, and the number of its sentence for each."""
+    if every_length:
+        return pieces(text)
+    own = sentences(text)
+    return own, list(range(len(own)))
+
+
+def run_places(counts: np.ndarray, owners: np.ndarray, span: int, min_words: int, every_length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and end units of each run that has enough words, each run once."""
+    n = len(counts)
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.concatenate([np.flatnonzero(np.diff(owners, prepend=-1)), [n]])
+    firsts, ends = edges[: max(0, len(edges) - span)], edges[span:]
+    enough = sums[ends] - sums[firsts] >= min_words
+    firsts, ends = firsts[enough], ends[enough]
+    if every_length:
+        after = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), np.arange(1, n + 1))
+        before = np.minimum(np.searchsorted(sums, sums[1:] - min_words, side="right") - 1, np.arange(n))
+        on, back = np.flatnonzero(after <= n), np.flatnonzero(before >= 0)
+        firsts, ends = np.concatenate([firsts, on, before[back]]), np.concatenate([ends, after[on], back + 1])
+        both = np.unique(firsts * (n + 1) + ends)
+        firsts, ends = both // (n + 1), both % (n + 1)
+    return firsts, ends
+
+
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    """Powers of both bases and of their inverses, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((*_BASES, *(pow(base, -1, 1 << 64) for base in _BASES))):
+            _powers[i] = np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64).cumprod(dtype=np.uint64)])
+    return _powers
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def run_hashes(text: str, span: int, min_words: int, every_length: bool = False) -> tuple[np.ndarray, ...]:
+    """Places, units, 64-bit hashes and 32-bit checks of the runs that have enough words.
+
+    A run's hash is a sum of its units' digests under powers of an odd base,
+    so that all runs of a text come from one running sum.
+    """
+    own, owners = units(text, every_length)
+    firsts, ends = run_places(np.array([len(w) for _, _, w in own], np.int64), np.array(owners, np.int64), span, min_words, every_length)
+    digests = b"".join(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, w in own)
+    pair = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    powers = _grown(len(own) + 1)
+    out = []
+    for k in range(2):
+        sums = np.concatenate([np.zeros(1, np.uint64), (pair[:, k] * powers[k][: len(own)]).cumsum(dtype=np.uint64)])
+        out.append(_mixed((sums[ends] - sums[firsts]) * powers[2 + k][firsts] + (ends - firsts).astype(np.uint64)))
+    return firsts, ends - firsts, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every run of sentences of (row_key, doc_id, text); ``at`` is its first sentence."""
+def runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
+    """Every run of (row_key, doc_id, text); ``at`` is its first unit, ``size`` its number of units."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames):
-            rows = [
-                (key, doc_id, *found)
-                for key, doc_id, text in zip(frame["row_key"], frame["doc_id"].array, frame["text"], strict=True)
-                if isinstance(text, str)
-                for found in run_hashes(text, span, min_words)
-            ]
-            out = pd.DataFrame(rows, columns=["row_key", "doc_id", "at", "hash", "check"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            found = [run_hashes(t, span, min_words, every_length) if isinstance(t, str) else _NONE for t in frame["text"]]
+            times = [len(f[0]) for f in found]
+            out = pd.DataFrame({"row_key": frame["row_key"].to_numpy().repeat(times), "doc_id": frame["doc_id"].astype("Int64").array.repeat(times)})
+            yield out.assign(**{name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("at", "size", "hash", "check"))})
 
     return keyed.mapInPandas(run, RUNS)
 
 
-def later_runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row_key, starts): places of runs that are not the first of their kind."""
+def later_runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
+    """(row_key, starts): places (at, size) of runs that are not the first of their kind."""
     first = (
-        runs(keyed, span, min_words)
+        runs(keyed, span, min_words, every_length)
         .groupBy("hash", "check")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "at")).alias("first"))
         .where("n > 1")
         .select("hash", "check", F.col("first.row_key").alias("first_key"), F.col("first.at").alias("first_at"))
     )
-    later = runs(keyed, span, min_words).join(cut(first, "repeated-runs"), ["hash", "check"]).where("not (row_key = first_key and at = first_at)")
-    return later.groupBy("row_key").agg(F.collect_set("at").alias("starts"))
+    later = runs(keyed, span, min_words, every_length).join(cut(first, "repeated-runs"), ["hash", "check"]).where("not (row_key = first_key and at = first_at)")
+    return later.groupBy("row_key").agg(F.collect_set(F.struct("at", "size")).alias("starts"))
 
 
-def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
     """``docs`` with repeated sentence spans removed from the text.
 
-    Adds n_sentences, n_removed and removed, the (start, end) code points of
-    the stretches taken out. The first occurrence is the one of the smallest
+    Adds n_sentences, n_removed (sentences of which a piece or all is taken
+    out) and removed, the (start, end) code points of the stretches taken out. The first occurrence is the one of the smallest
     doc_id (null first), then of a hash of doc_id and text, then of the
     earliest place; rows equal in both are one text and keep the same.
     A null text stays null and has no sentences. A text without a later repeat
@@ -106,7 +188,7 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
     added = ("n_sentences", "n_removed", "removed")
     names = [c for c in docs.columns if c not in (*added, "row_key", "starts")]
     keyed = docs.select(*names, F.xxhash64("doc_id", "text").alias("row_key"))
-    starts = later_runs(keyed.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text"), span, min_words)
+    starts = later_runs(keyed.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text"), span, min_words, every_length)
     joined = keyed.join(starts.hint("shuffle_hash"), "row_key", "left").drop("row_key")
     fields = [joined.schema[c] for c in names]
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -116,8 +198,8 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
         for frame in batches(frames):
             texts, counts, gone, cuts = [], [], [], []
             for text, at in zip(frame["text"], frame["starts"], strict=True):
-                own = sentences(text) if isinstance(text, str) else []
-                dead = {i + k for i in at for k in range(span)} if at is not None and len(own) else set()
+                own, owners = units(text, every_length) if isinstance(text, str) else ([], [])
+                dead = {i for r in at for i in range(r["at"], r["at"] + r["size"])} if at is not None and len(own) else set()
                 stretches: list[dict[str, int]] = []
                 for i in sorted(dead):
                     if stretches and stretches[-1]["end"] == own[i][0]:
@@ -125,17 +207,17 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Data
                     else:
                         stretches.append({"start": own[i][0], "end": own[i][1]})
                 texts.append(text if not dead else "".join(text[a:b] for i, (a, b, _) in enumerate(own) if i not in dead))
-                counts.append(len(own))
-                gone.append(len(dead))
+                counts.append(owners[-1] + 1 if owners else 0)
+                gone.append(len({owners[i] for i in dead}))
                 cuts.append(stretches)
             yield frame.drop(columns="starts").assign(text=texts, n_sentences=counts, n_removed=gone, removed=cuts)
 
     return joined.select(*names, "starts").mapInPandas(run, schema)
 
 
-def dedup_documents(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_documents(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = True) -> DataFrame:
     """The columns of ``docs`` only, n_chars counted anew; documents left without a word go."""
-    out = dedup(docs, span, min_words).where("n_removed = 0 or text rlike '\\\\S'")
+    out = dedup(docs, span, min_words, every_length).where("n_removed = 0 or text rlike '\\\\S'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -57,3 +57,63 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[5][0].text == "" and by[4][0].text == by[4][1].text != ""
     assert sd.dedup(no_docs).count() == 0
     assert sd.dedup_documents(odd_docs).columns == odd_docs.columns
+
+
+def brute_every_length(rows, span=sd.SPAN, least=sd.MIN_WORDS):
+    """Removed (start, end) units by document, by the definition."""
+    places, gone = defaultdict(list), defaultdict(set)
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        own, owners = sd.pieces(r.text)
+        found = set()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                enough = sum(len(w) for _, _, w in own[i:j]) >= least
+                starts, ends = not i or owners[i - 1] != owners[i], j == len(own) or owners[j] != owners[j - 1]
+                if enough and starts and ends and owners[j - 1] - owners[i] == span - 1:
+                    found.add((i, j))
+                without_first = sum(len(w) for _, _, w in own[i + 1 : j])
+                if enough and (without_first < least or sum(len(w) for _, _, w in own[i : j - 1]) < least):
+                    found.add((i, j))
+                if owners[j - 1] - owners[i] >= span and without_first >= least:
+                    break
+        for i, j in found:
+            places[tuple(tuple(w) for _, _, w in own[i:j])].append((r.doc_id, i, j))
+    for found in places.values():
+        for doc_id, i, j in sorted(found)[1:]:
+            gone[doc_id] |= set(range(i, j))
+    return gone
+
+
+def test_every_length_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    given = {r.doc_id: r for r in docs.collect()}
+    want = brute_every_length(given.values())
+    rows = sd.dedup(docs, every_length=True).collect()
+    assert len(rows) == len(given)
+    for r in rows:
+        own, owners = sd.pieces(given[r.doc_id].text)
+        assert r.text == "".join(given[r.doc_id].text[a:b] for i, (a, b, _) in enumerate(own) if i not in want[r.doc_id])
+        assert r.n_sentences == len(sd.sentences(given[r.doc_id].text)) and r.n_removed == len({owners[i] for i in want[r.doc_id]})
+
+
+def test_pieces_tile_the_text():
+    for text in ("", "  a b. " + "w " * 100 + "x.  End", "\n" + " ".join(f"w{i % 7}" for i in range(90)) + "\n\n"):
+        parts, owners = sd.pieces(text)
+        assert not parts or "".join(text[a:b] for a, b, _ in parts) == text
+        assert all(text[a:b].lower().split() == w and len(w) <= sd.LONG for a, b, w in parts)
+        assert len(set(owners)) == len(sd.sentences(text))
+
+
+def test_passages_that_two_sentences_miss(spark):
+    """One-sentence copies, a 60-word sentence between different ones or inside a longer one, short lines."""
+    single = " ".join(f"s{i}" for i in range(14)) + "."
+    long = " ".join(f"m{i}" for i in range(60))
+    lines = "\n".join(f"l{i} k{i} j{i}" for i in range(20))
+    texts = [single, single, f"Before one. {long}. After one.", f"Another start. {long}. Another end.", f"Starts as {long} ends so.", f"Head a.\n{lines}\nTail a.", f"Head b.\n{lines}\nTail b."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sd.dedup(docs, every_length=True).collect()}
+    assert [got[i].text for i in (0, 2, 5)] == [texts[0], texts[2], texts[5]]
+    assert got[1].text == "" and got[3].text == "Another start. Another end." and got[6].text == "Head b.\nTail b."
+    left = got[4].text.split()
+    assert left[:2] == ["Starts", "as"] and left[-2:] == ["ends", "so."] and len(left) < 4 + 2 * sd.LONG and got[4].n_removed == 1
+    assert {r.doc_id for r in sd.dedup_documents(docs).collect()} == {0, 2, 3, 4, 5, 6}
