@@ -6,8 +6,8 @@ classes. Each class has PERMUTATIONS minwise tokens. A tree branches the
 classes by selected tokens: a node at the next depth holds those that agree on
 STEP more of them. Nodes of up to SMALL classes are compared exhaustively.
 Larger ones are compared with one pivot and branch again, down to the last
-depth. TREES independent trees bring the chance to miss a pair at the
-threshold under one in a million.
+depth. TREES independent trees bring the chance to miss a pair at a similarity
+of 0.8 or more under one in a million.
 
 Candidates first pass a test on minwise tokens, then every link is confirmed
 on full sets. As pivots and deep branches may miss links within large nodes,
@@ -23,6 +23,7 @@ once, for candidates only.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,15 +35,17 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import cut, ship
 
 WORDS = 5
-PERCENT = 85
+
+#: Least similarity of a link in percent: by the contract of op5, and where none is given (the pipeline's stage).
+OP5_PERCENT, PERCENT = 85, 80
 
 PERMUTATIONS = 64
 TREES = 20
 STEP, DEPTHS = 3, 4
 SMALL = 32
 
-#: Agreeing minwise tokens that a candidate needs. At a similarity of 0.85 fewer come up once in a million.
-LEAST_AGREEING = 40
+#: Chance of a pair at the threshold to fail the test on minwise tokens.
+MISS = 1e-6
 
 #: Classes of a block when large nodes are finished.
 BLOCK = 512
@@ -54,6 +57,17 @@ _ODD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SLOTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _COORDINATES = [_rng.permutation(PERMUTATIONS)[: STEP * DEPTHS].tolist() for _ in range(TREES)]
 
+
+def least_agreeing(percent: int) -> int:
+    """Agreeing minwise tokens that a candidate needs; a pair at the threshold has fewer with a chance of MISS at most."""
+    p, fewer = percent / 100, 0.0
+    for k in range(PERMUTATIONS + 1):
+        fewer += math.comb(PERMUTATIONS, k) * p**k * (1 - p) ** (PERMUTATIONS - k)
+        if fewer > MISS:
+            return k
+    return PERMUTATIONS
+
+
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -177,15 +191,15 @@ def _agreeing(x: str, y: str) -> F.Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidates whose sizes allow a link and whose minwise tokens agree often enough."""
     side = classes.select("key", "n_shingles", "tokens")
     a, b = (side.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab")
-    joined = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return joined.where(_agreeing("t_a", "t_b") >= LEAST_AGREEING).select("a", "b", "n_a", "n_b")
+    joined = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return joined.where(_agreeing("t_a", "t_b") >= least_agreeing(percent)).select("a", "b", "n_a", "n_b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) whose full sets meet the threshold.
 
     The set of ``a`` goes to 64 salts at most, so a pivot of many pairs is
@@ -195,7 +209,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = salted.select("a", "salt").distinct().join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
     right = salted.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return right.join(left, ["a", "salt"]).where(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    return right.join(left, ["a", "salt"]).where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,7 +227,7 @@ def components(links: DataFrame) -> DataFrame:
         total = now
 
 
-def _linked(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+def _linked(one: pd.DataFrame, two: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
     """Links between a block of classes and another, across components, confirmed on full sets.
 
     A pair that agrees on the tokens of an earlier tree's node is left to that
@@ -226,9 +240,9 @@ def _linked(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         y, keys, labels, sizes = np.stack(two["tokens"].to_numpy()), two["key"].to_numpy(), two["label"].to_numpy(), two["n_shingles"].to_numpy()
         sets = two["set"].to_numpy()
         for key, label, size, tokens, own in zip(one["key"], one["label"], one["n_shingles"], one["tokens"], one["set"], strict=True):
-            may = np.flatnonzero((labels != label) & (100 * np.minimum(size, sizes) >= PERCENT * np.maximum(size, sizes)))
+            may = np.flatnonzero((labels != label) & (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)))
             same = y[may] == np.asarray(tokens)
-            good = same.sum(1) >= LEAST_AGREEING
+            good = same.sum(1) >= least
             for c in earlier:
                 good &= ~same[:, c].all(1)
             may = may[good]
@@ -238,11 +252,11 @@ def _linked(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
             own = np.sort(np.asarray(own))
             hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
             both = np.add.reduceat(hit.astype(np.int64), starts)
-            out += [(min(key, k), max(key, k)) for k in keys[may][100 * both >= PERCENT * (size + sizes[may] - both)]]
+            out += [(min(key, k), max(key, k)) for k in keys[may][100 * both >= percent * (size + sizes[may] - both)]]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def finished(large: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def finished(large: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components within large nodes.
 
     In each node the classes outside its largest component are compared with
@@ -263,29 +277,35 @@ def finished(large: DataFrame, classes: DataFrame, labels: DataFrame, sets: Data
     theirs = held.select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(shown, "key")
     by = ("node", "group", "block")
     theirs = theirs.toDF(*theirs.columns)  # names of its own for the cogroup
-    return own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(_linked, "a long, b long").distinct()
+    least = least_agreeing(percent)
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return _linked(one, two, percent, least)
+
+    return own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(run, "a long, b long").distinct()
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(key, label) of classes that have a link."""
     pairs, large = candidates(classes)
-    asked = cut(likely(pairs, classes), "likely-pairs")
+    asked = cut(likely(pairs, classes, percent), "likely-pairs")
     keys = asked.select(F.col("a").alias("key")).union(asked.select("b"))
     if large is not None:
         keys = keys.union(large.select("key"))
     wanted = keys.distinct().join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(_sets(docs.where("text is not null").join(wanted, "doc_id", "left_semi")).groupBy("key").agg(F.first("set").alias("set")), "sets")
-    links = cut(confirmed(asked, sets), "links")
+    links = cut(confirmed(asked, sets, percent), "links")
     labels = components(links)
     if large is None:
         return labels
-    more = cut(finished(large, classes, labels, sets), "more-links")
+    more = cut(finished(large, classes, labels, sets, percent), "more-links")
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = OP5_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
+    Documents whose sets have a similarity of ``percent`` or more are linked.
     component_id is the least doc_id that a document reaches over links, itself
     included; kept marks it. Documents without a word (null or empty text) have
     no shingle, no link and their own component. Rows that share a doc_id are
@@ -300,7 +320,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = by_set.groupBy("key").agg(F.min("doc_id").alias("rep"))
     rep_rows = by_set.join(cut(least.where("rep is not null"), "classes").withColumnRenamed("key", "class"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("class")))
     classes = cut(rep_rows.select("key", "rep", "n_shingles", "tokens").dropDuplicates(["key"]), "class-sketches")
-    labels = link_classes(docs, classes)
+    labels = link_classes(docs, classes, percent)
     named = classes.select("key", "rep").join(labels, "key")
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = named.join(cut(lowest, "lowest"), "label").select("key", "component_id")
@@ -312,11 +332,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one of the least doc_id.
 
     Of rows with one doc_id and equal text only one stays.
     """
-    marked = near_duplicates(docs)
+    marked = near_duplicates(docs, percent)
     keep = marked.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)

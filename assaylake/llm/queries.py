@@ -36,7 +36,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir))
+    return near_dup.near_duplicates(documents(spark, sf_dir), near_dup.OP5_PERCENT)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return near_dup.dedup_documents(docs)
+    """Keep one document of each group of near duplicates, linked at a similarity of 0.8 or more."""
+    return near_dup.dedup_documents(docs, near_dup.PERCENT)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,20 @@ def test_dedup_keeps_one(odd_docs):
     assert left.columns == odd_docs.columns
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 2, 3, 4, 7, 8, 9, 10, 11]
     assert left.where("doc_id is null").count() == 1
+
+
+def test_threshold_of_the_stage(spark):
+    """A pair between 0.80 and 0.85 goes in the stage and stays two components under op5's contract."""
+    words = [f"w{i}" for i in range(104)]
+    pair = [" ".join(words), " ".join([*words[:93], *(f"x{i}" for i in range(11))])]
+    a, b = map(shingle_set, pair)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame([(1, pair[0]), (2, pair[1]), (3, "a text of its own that is like no other one here")], "doc_id long, text string")
+    assert [r.component_id for r in near_dup.near_duplicates(docs, 85).orderBy("doc_id").collect()] == [1, 2, 3]
+    assert [r.component_id for r in near_dup.near_duplicates(docs, 80).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert sorted(r.doc_id for r in near_dup.dedup_documents(docs).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_least_agreeing_follows_the_threshold():
+    assert near_dup.least_agreeing(85) == 39 and near_dup.least_agreeing(80) == 34
