@@ -8,6 +8,10 @@ words is an LCP interval; its substring is a maximal repeat where the words
 before its occurrences differ. The spans of all maximal repeats are united, and
 a text is kept if neither the covered share of its characters nor its longest
 repeat is beyond a limit.
+
+The same array over characters finds repeats that no 8 words hold: short
+phrases, parts of words, and texts without spaces. Their covered share and
+longest repeat have limits of their own.
 """
 
 from __future__ import annotations
@@ -28,6 +32,13 @@ WINDOW = 8
 MAX_COVERED = 0.3
 MAX_LONGEST = 200
 
+#: Characters in a repeat that counts, and the limits on such repeats: the covered share of all
+#: characters, and the longest one as a share of them (shorter ones than MIN_LONGEST_CHARS pass).
+CHARS = 20
+MAX_CHARS_COVERED = 0.3
+MAX_CHARS_LONGEST = 0.1
+MIN_LONGEST_CHARS = 100
+
 #: Limits of the base rules (fixed values).
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -106,26 +117,46 @@ def maximal_repeats(ids: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     by more than one word (or by the start of the text).
     """
     order, lcp = suffix_array(ids, least)
+    return intervals(ids, order, lcp, least)
+
+
+def intervals(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """``maximal_repeats`` from a suffix array. Only places under a repeat are visited, each once."""
+    places = np.flatnonzero(lcp >= least)
+    if not len(places):
+        return []
     before = np.where(order > 0, np.append(ids, -1)[order - 1], -1)
     out: list[tuple[int, int, int]] = []
-    stack: list[list] = []  # [lcp, left edge]
-    for i, length in enumerate([*lcp[1:].tolist(), 0], 1):
-        left = i - 1
-        while stack and stack[-1][0] > length:
-            size, left = stack.pop()
-            if size >= least:
-                held = order[left:i]
-                if len(set(before[left:i].tolist())) > 1 or (held == 0).any():
-                    out.append((size, i - left, int(held.min())))
-        if length and (not stack or stack[-1][0] < length):
-            stack.append([length, left])
+    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+        base = int(run[0]) - 1
+        starts, lefts, lengths = order[base : run[-1] + 1].tolist(), before[base : run[-1] + 1].tolist(), lcp[run].tolist()
+        stack: list[list] = []  # [lcp, left edge, first start, word before or None where words differ]
+        for i, length in enumerate([*lengths, 0]):
+            left, first, word = i, starts[i], lefts[i] if starts[i] else None
+            while stack and stack[-1][0] > length:
+                size, left, low, common = stack.pop()
+                first, word = min(first, low), common if common == word else None
+                if word is None:
+                    out.append((size, i + 1 - left, first))
+                if stack and stack[-1][0] >= length:
+                    stack[-1][2] = min(stack[-1][2], first)
+                    stack[-1][3] = word if word == stack[-1][3] else None
+                    first, word = stack[-1][2], stack[-1][3]
+            if length and (not stack or stack[-1][0] < length):
+                stack.append([length, left, first, word])
+            elif length:
+                stack[-1][2] = min(stack[-1][2], first)
+                stack[-1][3] = word if word == stack[-1][3] else None
     return sorted(out)
 
 
 def longest_at(ids: np.ndarray, least: int) -> np.ndarray:
     """For each word the length of the longest repeat that starts there, 0 if under ``least``."""
-    order, lcp = suffix_array(ids, least)
-    longest = np.zeros(len(ids), np.int64)
+    return _longest(*suffix_array(ids, least), least)
+
+
+def _longest(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    longest = np.zeros(len(order), np.int64)
     longest[order] = np.maximum(lcp, np.append(lcp[1:], 0))
     longest[longest < least] = 0
     return longest
@@ -144,6 +175,18 @@ def _numbered(words: list[str], seen: dict[str, int]) -> list[int]:
     return [seen.setdefault(w, len(seen)) for w in words]
 
 
+def char_repeats(text: str, least: int = CHARS) -> tuple[int, int, float]:
+    """Maximal repeats of ``least`` characters or more in a whole text: their number, the longest, the share covered."""
+    if len(text) <= least:
+        return 0, 0, 0.0
+    ids = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    order, lcp = suffix_array(ids, least)
+    found = intervals(ids, order, lcp, least)
+    if not found:
+        return 0, 0, 0.0
+    return len(found), found[-1][0], float(_covered(_longest(order, lcp, least)).mean())
+
+
 def measure(texts: list[str | None], window: int = WINDOW, words_at_once: int = 400_000) -> pd.DataFrame:
     """Base counts and repeats of whole texts.
 
@@ -199,7 +242,8 @@ def measure(texts: list[str | None], window: int = WINDOW, words_at_once: int =
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, longest_repeat long, covered_share double"
+    "base_failed boolean, kept boolean, longest_repeat long, covered_share double, "
+    "n_char_repeats long, longest_char_repeat long, char_covered_share double"
 )
 
 
@@ -209,7 +253,8 @@ def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int =
     Reads doc_id and text only. A null or empty text has no words, fails the
     base rule of least words and is not kept. Repeated rows give repeated
     results. ``longest_repeat`` is in words, ``covered_share`` the share of word
-    characters under repeats of ``window`` words or more.
+    characters under repeats of ``window`` words or more. The last three columns
+    tell the same of maximal repeats of CHARS characters or more.
     """
     ship(docs.sparkSession)
 
@@ -221,6 +266,10 @@ def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int =
             out.insert(0, "doc_id", pd.array(frame["doc_id"].to_numpy(), dtype="Int64") if not frame["doc_id"].isna().any() else frame["doc_id"].astype("Int64").array)
             failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
             kept = ~failed & (out["covered_share"] <= max_covered) & (out["longest_repeat"] <= max_longest)
+            found = [char_repeats(t) if isinstance(t, str) else (0, 0, 0.0) for t in frame["text"]]
+            out = out.assign(**{name: [f[i] for f in found] for i, name in enumerate(("n_char_repeats", "longest_char_repeat", "char_covered_share"))})
+            most = np.maximum(MIN_LONGEST_CHARS, MAX_CHARS_LONGEST * np.array([len(t) if isinstance(t, str) else 0 for t in frame["text"]]))
+            kept &= (out["char_covered_share"] <= MAX_CHARS_COVERED) & (out["longest_char_repeat"] <= most)
             yield out.assign(base_failed=failed, kept=kept)[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)

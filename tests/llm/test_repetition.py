@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -66,3 +67,27 @@ def test_base_counts(spark, odd_docs, no_docs):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert not (r.base_failed and r.kept)
     assert repetition.judge(no_docs).count() == 0
+
+
+def test_method_rejects_what_the_base_passes(spark):
+    """Short phrases, a text almost without spaces, and a copied paragraph; a plain text is kept."""
+    rng = random.Random(5)
+
+    def word():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+
+    phrases = " ".join(f"{word()} buy our great product now {word()} {word()}" for _ in range(40))
+    joined = " ".join(word() for _ in range(30)) + " " + "".join(f"{word()}verylongrepeatedstringwithoutspaces" for _ in range(40))
+    copied = " ".join(word() for _ in range(18))
+    paragraph = f"{copied} " + " ".join(word() for _ in range(100)) + f" {copied}"
+    plain = " ".join(word() for _ in range(150))
+    docs = spark.createDataFrame(list(enumerate([phrases, joined, paragraph, plain])), "doc_id long, text string")
+    rows = repetition.judge(docs).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in rows)
+    assert [r.kept for r in rows] == [False, False, False, True]
+    assert rows[0].longest_repeat == 0 and rows[0].char_covered_share > 0.3 and rows[2].longest_char_repeat >= len(copied)
+
+
+def test_one_character_repeated():
+    assert repetition.char_repeats("a" * 20000) == (19980, 19999, 1.0)
+    assert repetition.char_repeats("") == repetition.char_repeats("short") == (0, 0, 0.0)
