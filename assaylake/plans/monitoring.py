@@ -118,7 +118,16 @@ def latest_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = screening.round_changes(results(spark, sf_dir).where("analyte in ('click', 'view')"))
+    """The changes of two analytes, as its SQL has them; ``round_change_all`` has every analyte."""
+    return _changes(results(spark, sf_dir).where("analyte in ('click', 'view')"))
+
+
+def round_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(results(spark, sf_dir))
+
+
+def _changes(found: DataFrame) -> DataFrame:
+    pairs = screening.round_changes(found)
     return pairs.groupBy("well", "analyte").agg(
         F.count("*").alias("n_pairs"),
         F.count_if(F.col("direction") == "rise").alias("n_rises"),
@@ -174,15 +183,39 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.missing_ids(lab, coc, field)
 
 
-def compact_id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' names written two ways meet by their letters and digits."""
+def _customer_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' names written two ways: lab_id in the one, coc_id in the other."""
     names = table(spark, sf_dir, "customer")
-    lab = names.where("c_custkey % 3 = 0").select(F.upper(F.replace("c_name", F.lit("#"), F.lit(" - "))).alias("lab_id"), F.col("c_nationkey").alias("matrix"))
-    coc = names.select(F.col("c_name").alias("coc_id"), F.col("c_nationkey").alias("matrix"), "c_custkey")
-    joined = lab.withColumn("compact", exact.compact_id(F.col("lab_id"))).join(coc.withColumn("compact", exact.compact_id(F.col("coc_id"))), ["compact", "matrix"])
+    lab = names.select(F.upper(F.replace("c_name", F.lit("#"), F.lit(" - "))).alias("lab_id"), F.col("c_nationkey").alias("matrix"), "c_custkey")
+    return lab, names.select(F.col("c_name").alias("coc_id"), F.col("c_nationkey").alias("matrix"), "c_custkey")
+
+
+def _compact_matches(lab: DataFrame, coc: DataFrame) -> DataFrame:
+    joined = lab.select("lab_id", "matrix", exact.compact_id(F.col("lab_id")).alias("compact")).join(coc.withColumn("compact", exact.compact_id(F.col("coc_id"))), ["compact", "matrix"])
     return joined.groupBy("lab_id", "compact").agg(F.count("*").alias("n_candidates"), F.min("coc_id").alias("coc_id"))
 
 
+def compact_id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that meet by their letters and digits, for every third customer as its SQL has it."""
+    lab, coc = _customer_ids(spark, sf_dir)
+    return _compact_matches(lab.where("c_custkey % 3 = 0"), coc)
+
+
+def compact_id_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compact_matches(*_customer_ids(spark, sf_dir))
+
+
+def id_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-to-one matching of ``reconcile.suggestions`` over all customers; no stamps, custody rows in order of key."""
+    lab, coc = _customer_ids(spark, sf_dir)
+    stamp = F.struct(F.lit(None).cast("date").alias("d"), F.lit(None).cast("int").alias("minute")).alias("sampled")
+    row = F.col("c_custkey").alias("row")
+    return reconcile.suggestions(
+        lab.select(F.col("lab_id").alias("sample_id"), stamp, "matrix", F.lit("customer").alias("file"), row),
+        coc.select(F.col("coc_id").alias("sample_id"), stamp, "matrix", row, F.lit(False).alias("hold")),
+    )
+
+
 def duplicate_rpd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line 1 and line 2 of an order are a sample and its duplicate, by quantity and price."""
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2)")
@@ -272,12 +305,15 @@ QUERIES = {
     "detected_counts": detected_counts,
     "latest_round": latest_round,
     "round_change": round_change,
+    "round_change_all": round_change_all,
     "kleene_all_by_well": kleene_all_by_well,
     "nearest_value": nearest_value,
     "criteria_bounds": criteria_bounds,
     "three_way_reconcile": three_way_reconcile,
     "missing_ids": missing_ids,
     "compact_id_match": compact_id_match,
+    "compact_id_match_all": compact_id_match_all,
+    "id_suggestions": id_suggestions,
     "duplicate_rpd": duplicate_rpd,
     "holding_time": holding_time,
     "majority_unit": majority_unit,
@@ -331,6 +367,12 @@ select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.valu
        max(cast(b.value - a.value as double)) as largest_rise, count(*) filter (abs(b.value - a.value) * 2 >= a.value) as n_half_or_more
 from results a join results b on a.well = b.well and a.analyte = b.analyte and a.date < b.date and a.value <> b.value
 where a.analyte in ('click', 'view') group by all""",
+    "round_change_all": f"""
+with results as ({RESULTS})
+select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.value) as n_rises,
+       max(cast(b.value - a.value as double)) as largest_rise, count(*) filter (abs(b.value - a.value) * 2 >= a.value) as n_half_or_more
+from results a join results b on a.well = b.well and a.analyte = b.analyte and a.date < b.date and a.value <> b.value
+group by all""",
     "kleene_all_by_well": f"""
 with results as ({RESULTS})
 select well, case when count(*) filter (not value < 200) > 0 then false when count(*) filter (value is null) > 0 then null else true end as all_below
@@ -371,6 +413,11 @@ union all select s, 'field sheet', 'chain of custody' from field where s not in
 with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer where c_custkey % 3 = 0)
 select lab_id, regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') as compact, count(*) as n_candidates, min(c_name) as coc_id
 from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g')
+group by all""",
+    "compact_id_match_all": """
+with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer)
+select lab_id, regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') as compact, count(*) as n_candidates, min(c_name) as coc_id
+from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g')
 group by all""",
     "duplicate_rpd": """
 with one as (select l_orderkey, l_linenumber as n, cast(max(l_quantity) as decimal(18,9)) as q, cast(max(l_extendedprice) as decimal(18,9)) as p from lineitem where l_linenumber in (1, 2) group by all),
