@@ -38,29 +38,57 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder is made and set, on one machine only: with executors
+    elsewhere they could not see it, so that is an error.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = held.get() if held.isDefined() else None
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/assaylake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     The lineage ends there: a lost executor costs a read of the table, never
     the work before it. Columns keep their names and types.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assaylake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, name)[0]
+
+
+class Tables:
+    """Intermediate tables of one operator, removed once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`cut`; the table goes with ``clear``."""
+        out, path = _written(df, name)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        """Remove the tables. Nothing that is still to run may read them."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            held = context._jvm.org.apache.hadoop.fs.Path(path)
+            held.getFileSystem(context._jsc.hadoopConfiguration()).delete(held, True)
+        self.paths.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
