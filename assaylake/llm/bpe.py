@@ -17,15 +17,13 @@ import hashlib
 import heapq
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from assaylake.llm.common import batches, ship
+from assaylake.llm.common import extended, texts_of
 
 #: Pre-tokenisation pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,8 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Parts beyond which merges come from a heap.
 LONG = 128
 
-#: Words whose ids one Python worker keeps. The store is emptied when it is full.
-KEPT_WORDS = 300_000
+#: Words whose ids one Python worker keeps, and the characters that a kept word may have. The store is emptied when it is full.
+KEPT_WORDS, KEPT_CHARS = 300_000, 64
 
 _NONE = 1 << 29
 
@@ -163,7 +161,9 @@ class _Words(dict):
             self.clear()
         byte_ids = self.bpe.byte_ids
         ids = self.bpe.merge([byte_ids[b] for b in word.encode("utf-8", "surrogatepass")])
-        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_CHARS:
+            self[word] = packed
         return packed
 
 
@@ -182,7 +182,8 @@ class _Stretches(dict):
             packed = self.bpe.words[written]
         else:
             packed = b"".join(map(self.bpe.words.__getitem__, self.bpe.pattern.findall(written)))
-        self[stretch] = packed
+        if len(stretch) <= KEPT_CHARS:
+            self[stretch] = packed
         return packed
 
 
@@ -197,31 +198,28 @@ def load(path: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with a binary column of packed ids; a null text has no ids. Clashing columns are replaced."""
-    ship(docs.sparkSession)
-    kept = docs.drop(to)
-    schema = T.StructType([*kept.schema.fields, T.StructField(to, T.BinaryType())])
+    """``docs`` with a binary column of packed ids of each whole text.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null text has no ids. A column of ``docs`` named ``to`` is replaced, all
+    others come back as they were; repeated rows give repeated results; an
+    empty table gives no rows.
+    """
+
+    def make(piece: pa.RecordBatch) -> dict:
         bpe = load(path)
-        for frame in batches(frames, text):
-            yield frame.assign(**{to: [bpe.encode(t) if isinstance(t, str) else b"" for t in frame[text]]})
+        return {to: [bpe.encode(t) if t else b"" for t in texts_of(piece, text)]}
 
-    return kept.mapInPandas(run, schema)
+    return extended(docs, {to: "binary"}, make, text)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of packed ids; null ids give an empty text."""
-    ship(encoded.sparkSession)
-    kept = encoded.drop(to)
-    schema = T.StructType([*kept.schema.fields, T.StructField(to, T.StringType())])
+    """``encoded`` with the text of packed ids; null ids give an empty text. Other columns as in ``encode``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(piece: pa.RecordBatch) -> dict:
         bpe = load(path)
-        for frame in frames:
-            yield frame.assign(**{to: [bpe.decode(p) if isinstance(p, bytes) else "" for p in frame[ids]]})
+        return {to: [bpe.decode(p) if p else "" for p in texts_of(piece, ids)]}
 
-    return kept.mapInPandas(run, schema)
+    return extended(encoded, {to: "string"}, make, ids)
 
 
 def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
@@ -230,20 +228,16 @@ def round_trip_digest(docs: DataFrame, path: str) -> DataFrame:
     One row for each row of ``docs``: doc_id, n_tokens, ids_sha256 (ids as
     little-endian unsigned 32-bit integers) and decoded_sha256 (UTF-8). A null
     text counts as empty; repeated rows give repeated results; other columns
-    of ``docs`` are not read. Ids and text stay in one pass, so that neither
-    travels between processes.
+    of ``docs`` are not read, whatever their names; an empty table gives no
+    rows. Ids and text stay in one pass, so that neither travels between
+    processes.
     """
-    ship(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
-        for frame in batches(frames):
-            rows = []
-            for doc_id, text in zip(frame["doc_id"].array, frame["text"].array, strict=True):
-                packed = bpe.encode(text) if isinstance(text, str) else b""
-                decoded = bpe.decode(packed).encode("utf-8")
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def make(piece: pa.RecordBatch) -> dict:
+        bpe, rows = load(path), []
+        for text in texts_of(piece):
+            packed = bpe.encode(text) if text else b""
+            rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(bpe.decode(packed).encode("utf-8")).hexdigest()))
+        return dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*rows, strict=True)), strict=True))
+
+    return extended(docs.select("doc_id", "text"), {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, make, drop=("text",))

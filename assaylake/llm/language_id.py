@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assaylake.llm.common import batches, ship
+from assaylake.llm.common import extended, pieces_of, ship, texts_of
 
 #: Buckets of hashed 1-, 2- and 3-grams.
 BUCKETS = 4096
@@ -38,30 +37,33 @@ _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 _SALTS = np.array([0x27D4EB2F, 0x165667B1, 0x2545F491], np.uint32)
 _SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
 
-_letters: np.ndarray | None = None
+_tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _letter_table() -> np.ndarray:
-    """For each code point: itself if it is a letter or mark, else a space."""
-    global _letters
-    if _letters is None:
-        table = np.full(0x110000, 32, np.uint32)
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: itself if it is a letter or mark, else a space; and whether it is a letter."""
+    global _tables
+    if _tables is None:
+        table, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] in "LM":
-                table[c] = c
-        _letters = table
-    return _letters
+            kind = unicodedata.category(chr(c))[0]
+            if kind in "LM":
+                table[c], letter[c] = c, kind == "L"
+        _tables = table, letter
+    return _tables
 
 
 def histogram(text: str) -> np.ndarray | None:
-    """Unit-length square roots of n-gram counts of a whole text, or None without a letter."""
-    codes = _letter_table()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """Unit-length square roots of n-gram counts of a whole text, or None without a letter (marks alone are none)."""
+    table, letter = _letter_tables()
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not letter[points].any():
+        return None
+    codes = table[points]
     space = codes == 32
     keep = ~space
     keep[1:] |= ~space[:-1]
     codes = codes[keep]
-    if not len(codes) or (codes == 32).all():
-        return None
     counts = np.zeros(BUCKETS)
     for n in (1, 2, 3):
         if len(codes) < n:
@@ -153,8 +155,10 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
     """Fit on a bounded sample of the labelled rows for which ``usable`` holds.
 
     The sample takes about ``rows_per_language`` rows of each language, chosen
-    by a hash of the text, so it is the same for any partitioning. Only their
-    n-gram histograms reach the driver: languages x rows x 8 KB at most.
+    by a hash of the text, so it is the same for any partitioning. Copies of a
+    text count once: they are dropped, and the rows of a language limited to
+    twice that number, before anything reaches the driver. Only n-gram
+    histograms do: languages x rows x 8 KB at most. None without a usable row.
     """
     ship(docs.sparkSession)
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -165,50 +169,42 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
     place = F.pmod(F.xxhash64(text, F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(language, h.astype(np.float16).tobytes()) for language, t in zip(frame["lang"], frame["text"], strict=True) if (h := histogram(t)) is not None]
-            yield pd.DataFrame(out, columns=["lang", "h"])
-
-    got = sorted((r["lang"], bytes(r["h"])) for r in sample.mapInPandas(run, "lang string, h binary").collect())
-    kept: dict[str, int] = {}
-    rows = []
-    for language, h in got:
-        kept[language] = kept.get(language, 0) + 1
-        if kept[language] <= 2 * rows_per_language:  # exact copies share a place: a hard bound
-            rows.append((language, np.frombuffer(h, np.float16).astype(np.float32)))
-    if not rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch, "text"):
+                out = [(language, h.astype(np.float16).tobytes()) for language, t in zip(texts_of(piece, "lang"), texts_of(piece), strict=True) if (h := histogram(t)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["lang", "h"])
+
+    found = sample.mapInArrow(run, "lang string, h binary").dropDuplicates()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    got = sorted((r["lang"], bytes(r["h"])) for r in found.withColumn("nth", nth).where(F.col("nth") <= 2 * rows_per_language).collect())
+    if not got:
         return None
-    return fit(np.stack([h for _, h in rows]), [language for language, _ in rows])
+    return fit(np.stack([np.frombuffer(h, np.float16).astype(np.float32) for _, h in got]), [language for language, _ in got])
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous from each whole text.
 
     A null text, a text without a letter, and every text under no model give
-    ``und`` with score 0, not ambiguous. Equal texts get equal results. Columns
-    of ``docs`` with the same names are replaced.
+    ``und`` with score 0, not ambiguous. Equal texts get equal results. At
+    equal losses the codeword of the language first in alphabetical order wins,
+    and the two are flagged ambiguous. Columns of ``docs`` with the added names
+    are replaced, all others kept (the text only with ``keep_text``). An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    kept = docs.drop("lang_pred", "score", "ambiguous")
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x bits floats
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        for frame in batches(frames, text):
-            n = len(frame)
-            languages, scores, unclear = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
-            if held is not None:
-                texts = frame[text].array
-                for at in range(0, n, 512):
-                    found = [(i, h) for i in range(at, min(n, at + 512)) if isinstance(texts[i], str) and (h := histogram(texts[i])) is not None]
-                    if not found:
-                        continue
-                    where = np.array([i for i, _ in found])
-                    best, score, ambiguous = held.decode(np.stack([h for _, h in found]))
-                    languages[where], scores[where], unclear[where] = np.array(held.languages, object)[best], score, ambiguous
-            yield frame.assign(lang_pred=languages, score=scores, ambiguous=unclear)
-
-    return kept.mapInPandas(run, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
+
+    def make(piece: pa.RecordBatch) -> dict:
+        held, texts = shared.value, texts_of(piece, text)
+        n = len(texts)
+        languages, scores, unclear = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
+        for at in range(0, n if held is not None else 0, 512):
+            found = [(i, h) for i in range(at, min(n, at + 512)) if texts[i] and (h := histogram(texts[i])) is not None]
+            if found:
+                where = np.array([i for i, _ in found])
+                best, score, ambiguous = held.decode(np.stack([h for _, h in found]))
+                languages[where], scores[where], unclear[where] = np.array(held.languages, object)[best], score, ambiguous
+        return {"lang_pred": languages.tolist(), "score": scores, "ambiguous": unclear}
+
+    return extended(docs, {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}, make, text, () if keep_text else (text,))

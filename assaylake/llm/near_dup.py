@@ -1,38 +1,45 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct 5-word shingles. Documents
-with equal sets are one class, found by a fingerprint; the join runs over
-classes. Each class has PERMUTATIONS minwise tokens. A tree branches the
-classes by selected tokens: a node at the next depth holds those that agree on
-STEP more of them. Nodes of up to SMALL classes are compared exhaustively.
-Larger ones are compared with one pivot and branch again, down to the last
-depth. TREES independent trees bring the chance to miss a pair at a similarity
-of 0.8 or more under one in a million.
-
-Candidates first pass a test on minwise tokens, then every link is confirmed
-on full sets. As pivots and deep branches may miss links within large nodes,
-these are finished once components are known: the classes outside a node's
-largest component are compared, in blocks, with all that it holds, and what
-passes the same test is confirmed on full sets.
-
-Components are closed under the links by minimum labels with pointer jumping.
-Every step is a join or an aggregate over narrow rows; texts are exchanged
-once, for candidates only.
+with equal sets are one class, found by a 128-bit fingerprint; the join runs
+over classes. Each class has PERMUTATIONS minwise tokens.
+
+A tree branches the classes by selected tokens. Which tokens a node looks at
+follows from a hash of its path, and a class goes to the child that its own
+tokens there name. At its root a tree looks at ROOT_STEP tokens; a deeper node
+has CHILDREN selections of STEP tokens, so a class goes to several children. There
+are as many independent trees as bring the chance that a pair at the threshold
+meets in none of them under MISS.
+
+In every node, one pivot is compared with all others. Links to it join most of
+a family of near copies: components are closed, and nodes whose classes all lie
+in one component are done. What is left of small nodes is compared
+exhaustively across components. Of larger ones, those that share a pivot are
+one family where that makes fewer comparisons than tree by tree: a tight
+family, which branching would hardly split. It is compared once, the classes
+outside its largest component with all others, in blocks. Looser and very large
+nodes branch again, and after DEPTHS selections they too meet in blocks.
+
+Pivot pairs and small nodes first pass a size test, which loses nothing, and a
+test on minwise tokens, which loses a link less than once in 1 / MISS_TEST; then
+every link is confirmed on full sets. Components are closed under the links by
+minimum labels with pointer jumping. Nodes exchange class numbers; sets are
+exchanged for classes with a candidate, and for large nodes that are mixed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import cut, ship
+from assaylake.llm.common import Tables, cut, extended, texts_of
 
 WORDS = 5
 
@@ -40,30 +47,41 @@ WORDS = 5
 OP5_PERCENT, PERCENT = 85, 80
 
 PERMUTATIONS = 64
-TREES = 20
-STEP, DEPTHS = 3, 4
-SMALL = 32
+ROOT_STEP, STEP, CHILDREN, DEPTHS = 3, 5, 3, 4
 
-#: Chance of a pair at the threshold to fail the test on minwise tokens.
-MISS = 1e-6
+#: Chance of a pair at the threshold to meet in no tree, and to fail the test on minwise tokens.
+MISS, MISS_TEST = 1e-8, 1e-9
 
-#: Classes of a block when large nodes are finished.
-BLOCK = 512
+#: A node of up to so many classes with up to so many shingles together is compared exhaustively, in one group.
+SMALL, SMALL_SHINGLES = 256, 8_000_000
+
+#: Classes of a block in groups that are too large for one task, and of the largest family that is compared in blocks.
+BLOCK, FAMILY = 256, 16_384
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(2024)
 _SEEDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _ODD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _SLOTS = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-_COORDINATES = [_rng.permutation(PERMUTATIONS)[: STEP * DEPTHS].tolist() for _ in range(TREES)]
+
+
+def trees(percent: int) -> int:
+    """Trees that a pair at the threshold needs to meet in one of their first nodes."""
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROOT_STEP)))
+
+
+def roots(percent: int) -> list[list[int]]:
+    """The tokens that the root of each tree looks at."""
+    rng = np.random.default_rng(2025)
+    return [rng.permutation(PERMUTATIONS)[:ROOT_STEP].tolist() for _ in range(trees(percent))]
 
 
 def least_agreeing(percent: int) -> int:
-    """Agreeing minwise tokens that a candidate needs; a pair at the threshold has fewer with a chance of MISS at most."""
+    """Agreeing minwise tokens that a candidate needs; a pair at the threshold has fewer with a chance of MISS_TEST at most."""
     p, fewer = percent / 100, 0.0
     for k in range(PERMUTATIONS + 1):
         fewer += math.comb(PERMUTATIONS, k) * p**k * (1 - p) ** (PERMUTATIONS - k)
-        if fewer > MISS:
+        if fewer > MISS_TEST:
             return k
     return PERMUTATIONS
 
@@ -123,80 +141,77 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed integers."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, tokens): key is a fingerprint of the set, null for an empty one."""
+    """(doc_id, text_hash, n_shingles, high, low, tokens): high and low are the fingerprint of the set, null for an empty one."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                found = shingles(text) if isinstance(text, str) else ()
-                if not len(found):
-                    rows.append((0, None, None))
-                    continue
-                key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((len(found), key, minwise(found)))
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "n_shingles": [r[0] for r in rows]})
-            out["key"] = pd.array([r[1] for r in rows], dtype="Int64")
-            out["tokens"] = [r[2] for r in rows]
-            yield out
+    def make(piece: pa.RecordBatch) -> dict:
+        rows = []
+        for text in texts_of(piece):
+            found = shingles(text) if text else ()
+            rows.append((len(found), *fingerprint(found), minwise(found)) if len(found) else (0, None, None, None))
+        return dict(zip(("n_shingles", "high", "low", "tokens"), map(list, zip(*rows, strict=True)), strict=True))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key long, tokens array<int>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return extended(keyed, {"n_shingles": "long", "high": "long", "low": "long", "tokens": "array<int>"}, make, drop=("text",))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [shingles(t) for t in frame["text"]]
-            keys = [int.from_bytes(hashlib.blake2b(f.tobytes(), digest_size=8).digest(), "little", signed=True) for f in found]
-            yield pd.DataFrame({"key": np.array(keys, np.int64), "set": [f.view(np.int64) for f in found]})
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, set) of the wanted classes, from one document of each: that of the class's rep and text_hash."""
 
-    return docs.select("text").mapInPandas(run, "key long, set array<long>")
+    def make(piece: pa.RecordBatch) -> dict:
+        found = [shingles(t) for t in texts_of(piece)]
+        same = [fingerprint(f) == (h, w) for f, h, w in zip(found, piece.column("high").to_pylist(), piece.column("low").to_pylist(), strict=True)]
+        return {"set": [f.view(np.int64) if ok else None for f, ok in zip(found, same, strict=True)]}
 
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    asked = wanted.select("key", "rep", F.col("text_hash").alias("th"), "high", "low")
+    one = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["rep"]) & (keyed["text_hash"] == asked["th"])).dropDuplicates(["key"])
+    return extended(one.select("key", "high", "low", "text"), {"set": "array<long>"}, make, drop=("text", "high", "low")).where("set is not null")
 
-def _pairs_within(ids: str) -> F.Column:
-    """All pairs of a short array of keys."""
-    return F.flatten(F.transform(F.col(ids), lambda x, i: F.transform(F.slice(F.col(ids), i + 2, F.size(ids)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
 
+def root_rows(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n_shingles, tree, node) of every class in every tree."""
+    nodes = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *(F.col("tokens")[c] for c in own)).alias("node")) for t, own in enumerate(roots(percent))]
+    return classes.select("key", "rep", "n_shingles", F.explode(F.array(*nodes)).alias("x")).select("key", "rep", "n_shingles", "x.*")
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of class keys from all trees, and the rows (node, key) of large nodes at the first depth."""
-    found: list[DataFrame] = []
-    first = None
 
-    def child(tree: int, depth: int, parent: F.Column) -> F.Column:
-        tokens = [F.col("tokens")[c] for c in _COORDINATES[tree][STEP * depth : STEP * (depth + 1)]]
-        return F.xxhash64(parent, *tokens)
+def child_rows(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``held`` in the next nodes of their paths."""
 
-    rows = classes.select("key", F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), child(t, 0, F.lit(t)).alias("node")) for t in range(TREES)))).alias("x")).select("key", "x.*")
-    for depth in range(DEPTHS):
-        nodes = cut(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1"), f"nodes-{depth}")
-        held = rows.join(nodes, "node")
-        small = held.where(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("ids"))
-        found.append(cut(small.select(F.explode(_pairs_within("ids")).alias("p")).select("p.a", "p.b").distinct(), f"small-{depth}"))
-        large = cut(held.where(F.col("n") > SMALL).select("tree", "node", "key", "pivot"), f"large-{depth}")
-        if large.isEmpty():
-            break
-        first = large if first is None else first
-        found.append(large.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct())
-        if depth + 1 < DEPTHS:
-            deeper = F.lit(None).cast("long")
-            for t in range(TREES):
-                deeper = F.when(F.col("tree") == t, child(t, depth + 1, F.col("node"))).otherwise(deeper)
-            rows = large.join(classes.select("key", "tokens"), "key").select("key", "tree", deeper.alias("node"))
-    return reduce(DataFrame.unionByName, found), first
+    def token(child: int, j: int) -> F.Column:
+        path = F.xxhash64("node", F.lit(child))
+        step = 2 * F.pmod(F.xxhash64(path), F.lit(PERMUTATIONS // 2)) + 1
+        return F.element_at("tokens", (F.pmod(path + j * step, F.lit(PERMUTATIONS)) + 1).cast("int"))
 
+    nodes = [F.xxhash64("node", F.lit(c), *(token(c, j) for j in range(STEP))) for c in range(CHILDREN)]
+    return held.select("tree", "node", "key").join(classes, "key").select("key", "rep", "n_shingles", "tree", F.explode(F.array(*nodes)).alias("node"))
 
-def _agreeing(x: str, y: str) -> F.Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+
+def in_nodes(rows: DataFrame) -> DataFrame:
+    """(tree, node, key, n, weight, pivot) of the rows that are not alone in their node.
+
+    The pivot is the class of the first document: of a family of copies that is
+    most often the one that the others were made from.
+    """
+    nodes = rows.groupBy("node").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.coalesce(F.min_by("key", "rep"), F.min("key")).alias("pivot")
+    )
+    return rows.select("tree", "node", "key").join(nodes.where("n > 1"), "node")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates whose sizes allow a link and whose minwise tokens agree often enough."""
+    """Pairs (a, b, n_a, n_b) whose sizes allow a link and whose minwise tokens agree often enough."""
     side = classes.select("key", "n_shingles", "tokens")
     a, b = (side.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("tokens").alias(f"t_{k}")) for k in "ab")
-    joined = pairs.distinct().join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return joined.where(_agreeing("t_a", "t_b") >= least_agreeing(percent)).select("a", "b", "n_a", "n_b")
+    joined = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    agreeing = F.aggregate(F.zip_with("t_a", "t_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    return joined.where(agreeing >= least_agreeing(percent)).select("a", "b", "n_a", "n_b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,94 +227,247 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return right.join(left, ["a", "salt"]).where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(key, label) for every key of a link: the least key that it reaches."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("u").alias("key")).agg(F.min(F.least("u", "v")).alias("label")), "labels")
+    edges = tables.cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
+    labels = tables.cut(edges.groupBy(F.col("u").alias("key")).agg(F.min(F.least("u", "v")).alias("label")), "labels")
     total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     while True:
         near = edges.join(labels, F.col("u") == F.col("key")).groupBy("v").agg(F.min("label").alias("near"))
-        lower = cut(labels.join(near, F.col("key") == F.col("v")).select("key", F.least("label", "near").alias("label")), "lower")
-        labels = cut(lower.join(lower.select(F.col("key").alias("k"), F.col("label").alias("further")), F.col("label") == F.col("k")).select("key", F.col("further").alias("label")), "labels")
+        lower = tables.cut(labels.join(near, F.col("key") == F.col("v")).select("key", F.least("label", "near").alias("label")), "lower")
+        labels = tables.cut(lower.join(lower.select(F.col("key").alias("k"), F.col("label").alias("further")), F.col("label") == F.col("k")).select("key", F.col("further").alias("label")), "labels")
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
         total = now
 
 
-def _linked(one: pd.DataFrame, two: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
-    """Links between a block of classes and another, across components, confirmed on full sets.
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Agreeing tokens of each row of x with each row of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for c in range(PERMUTATIONS):
+        out += x[:, c, None] == y[None, :, c]
+    return out
+
 
-    A pair that agrees on the tokens of an earlier tree's node is left to that
-    tree, so each pair is confirmed once.
+def _hopeful(frame: pd.DataFrame, percent: int, own_roots: list[list[int]], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, agreement) of ``rows`` with other rows of a node that may be linked, across components.
+
+    A pair that meets in the exhaustive node of an earlier tree is left to that
+    tree; ``done`` holds a bit for each tree in which a class has such a node.
+    Pairs with the pivot were confirmed before.
     """
+    tokens = np.stack(frame["tokens"].to_numpy())
+    labels, sizes, keys, done = (frame[c].to_numpy() for c in ("label", "n_shingles", "key", "done"))
+    tree, least, others = int(frame["tree"].iloc[0]), least_agreeing(percent), keys != frame["pivot"].iloc[0]
+    out = []
+    rows = rows[others[rows]]
+    for at in range(0, len(rows), 64):
+        part = rows[at : at + 64]
+        agree = _agreeing(tokens[part], tokens)
+        fit = 100 * np.minimum(sizes[part, None], sizes) >= percent * np.maximum(sizes[part, None], sizes)
+        i, j = np.nonzero((agree >= least) & (labels[part, None] != labels) & fit & others)
+        same = agree[i, j]
+        i = part[i]
+        for t in range(tree):
+            if not len(i):
+                break
+            x, y = tokens[:, own_roots[t]][i], tokens[:, own_roots[t]][j]
+            fresh = (done[i] >> t & 1 == 0) | (x != y).any(1)
+            i, j, same = i[fresh], j[fresh], same[fresh]
+        out.append((i, j, same))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int),) * 3
+
+
+def _outside(frame: pd.DataFrame) -> np.ndarray:
+    """Rows outside the largest component of a node: one of them is in every pair across components."""
+    return np.flatnonzero((frame["label"] != frame["label"].mode().iloc[0]).to_numpy())
+
+
+def _meeting(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each set of one list with each of the other, by products of 0/1 matrices of some columns."""
+    sizes = [np.array([len(s) for s in side]) for side in (one, two)]
+    universe, column = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    parts = column[: sizes[0].sum()], column[sizes[0].sum() :]
+    present = [np.bincount(part, minlength=len(universe)) > 0 for part in parts]
+    number = np.where(present[0] & present[1], np.cumsum(present[0] & present[1]) - 1, -1)
+    sides = []
+    for part, size in zip(parts, sizes, strict=True):
+        rows, columns = np.arange(len(size)).repeat(size), number[part]
+        order = np.argsort(columns, kind="stable")
+        sides.append((rows[order], columns[order]))
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, int(number.max(initial=-1)) + 1, width):
+        blocks = []
+        for (rows, columns), size in zip(sides, sizes, strict=True):
+            a, b = np.searchsorted(columns, [at, at + width])
+            block = np.zeros((len(size), width), np.float32)
+            block[rows[a:b], columns[a:b] - at] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out.astype(np.int64)
+
+
+def _similar(one: pd.DataFrame, two: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of two frames have full sets that meet the threshold."""
+    both = _meeting([np.asarray(s) for s in one["set"]], [np.asarray(s) for s in two["set"]])
+    return 100 * both >= percent * (one["n_shingles"].to_numpy()[:, None] + two["n_shingles"].to_numpy() - both)
+
+
+def _forest(i: np.ndarray, j: np.ndarray, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """Of the links (i, j) of two frames those that unite components which earlier ones have not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    keys, others = one["key"].to_numpy(), two["key"].to_numpy()
     out = []
-    if len(one) and len(two):
-        tree = int(one["tree"].iloc[0])
-        earlier = [_COORDINATES[t][:STEP] for t in range(tree)]
-        y, keys, labels, sizes = np.stack(two["tokens"].to_numpy()), two["key"].to_numpy(), two["label"].to_numpy(), two["n_shingles"].to_numpy()
-        sets = two["set"].to_numpy()
-        for key, label, size, tokens, own in zip(one["key"], one["label"], one["n_shingles"], one["tokens"], one["set"], strict=True):
-            may = np.flatnonzero((labels != label) & (100 * np.minimum(size, sizes) >= percent * np.maximum(size, sizes)))
-            same = y[may] == np.asarray(tokens)
-            good = same.sum(1) >= least
-            for c in earlier:
-                good &= ~same[:, c].all(1)
-            may = may[good]
-            if not len(may):
-                continue
-            joined, starts = np.concatenate(sets[may]), np.concatenate([[0], sizes[may].cumsum()[:-1]])
-            own = np.sort(np.asarray(own))
-            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
-            both = np.add.reduceat(hit.astype(np.int64), starts)
-            out += [(min(key, k), max(key, k)) for k in keys[may][100 * both >= percent * (size + sizes[may] - both)]]
+    for a, b, x, y in zip(keys[i].tolist(), others[j].tolist(), one["label"].to_numpy()[i].tolist(), two["label"].to_numpy()[j].tolist(), strict=True):
+        if (x := root(x)) != (y := root(y)):
+            parent[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def finished(large: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within large nodes.
+def links_within(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that unite the components of a node as far as its full sets do; fewer than it has classes."""
+    labels, outside = frame["label"].to_numpy(), _outside(frame)
+    own = frame.iloc[outside]
+    i, j = np.nonzero(_similar(own, frame, percent) & (own["label"].to_numpy()[:, None] != labels)) if len(own) else (outside, outside)
+    return _forest(i, j, own, frame)
+
+
+def links_between(one: pd.DataFrame, two: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The same for a block of classes and another."""
+    if not len(one) or not len(two):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    i, j = np.nonzero(_similar(one, two, percent) & (one["label"].to_numpy()[:, None] != two["label"].to_numpy()))
+    return _forest(i, j, one, two)
+
+
+def hopeful_rows(small: DataFrame, classes: DataFrame, percent: int, first: bool, tables: Tables) -> DataFrame:
+    """Rows of small nodes (node, key, label) that have a candidate across components, by their minwise tokens."""
+    own_roots = roots(percent)
+    bit = F.expr("shiftleft(1L, tree)") if first else F.lit(0).cast("long")
+    rows = small.join(small.groupBy("key").agg(F.bit_or(bit).alias("done")), "key")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second, _ = _hopeful(frame, percent, own_roots, _outside(frame))
+        return frame.iloc[np.unique(np.concatenate([first, second]))][["node", "key", "label"]]
+
+    shown = rows.join(classes.select("key", "n_shingles", "tokens"), "key")
+    return tables.cut(shown.groupBy("node").applyInPandas(run, "node long, key long, label long"), "hopeful")
 
-    In each node the classes outside its largest component are compared with
-    all that it holds, block by block; a node of one component has none.
+
+def exact_links(asked: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Links across components within the nodes of ``hopeful_rows``, confirmed on full sets."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return links_within(frame, percent)
+
+    full = asked.join(classes.select("key", "n_shingles").join(sets, "key"), "key")
+    return tables.cut(full.groupBy("node").applyInPandas(run, "a long, b long").distinct(), "small-links")
+
+
+def families(large: DataFrame) -> DataFrame:
+    """(pivot) of large nodes that are better compared as one family, each pair of classes once, than tree by tree."""
+    members = large.select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("members"))
+    by_tree = large.select("pivot", "node", "n").distinct().groupBy("pivot").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    return members.join(by_tree, "pivot").where(f"members <= {FAMILY} and members * members <= pairs").select("pivot")
+
+
+def in_blocks(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Links across components within the groups (node, key, label) that are too large for one task.
+
+    In each of them the classes outside its largest component are compared with
+    all that it holds, block by block.
     """
-    known = cut(large.select("tree", "node", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "known")
-    counted = known.groupBy("node", "label").agg(F.count("*").alias("n"))
-    mixed = (
+    counted = large.groupBy("node", "label").agg(F.count("*").alias("n"))
+    shape = (
         counted.groupBy("node")
         .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-        .where("n > most.n")
         .select("node", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("groups"))
     )
-    held = known.join(cut(mixed, "mixed-nodes"), "node")
+    held = large.select("node", "key", "label").join(tables.cut(shape, "node-shapes"), "node")
+    shown = classes.select("key", "n_shingles").join(sets, "key")
     block, group = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int")
-    shown = classes.select("key", "n_shingles", "tokens").join(sets, "key")
-    own = held.where("label <> main").select("tree", "node", "key", "label", group.alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(shown, "key")
-    theirs = held.select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(shown, "key")
+    own = held.where("label <> main").select("node", "key", "label", group.alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(shown, "key")
+    theirs = held.where("groups > 0").select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(shown, "key")
     by = ("node", "group", "block")
     theirs = theirs.toDF(*theirs.columns)  # names of its own for the cogroup
-    least = least_agreeing(percent)
 
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        return _linked(one, two, percent, least)
+        return links_between(one, two, percent)
 
-    return own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(run, "a long, b long").distinct()
+    return tables.cut(own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(run, "a long, b long").distinct(), "block-links")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(key, label) of classes that have a link."""
-    pairs, large = candidates(classes)
-    asked = cut(likely(pairs, classes, percent), "likely-pairs")
-    keys = asked.select(F.col("a").alias("key")).union(asked.select("b"))
-    if large is not None:
-        keys = keys.union(large.select("key"))
-    wanted = keys.distinct().join(classes.select("key", "rep"), "key").select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(_sets(docs.where("text is not null").join(wanted, "doc_id", "left_semi")).groupBy("key").agg(F.first("set").alias("set")), "sets")
-    links = cut(confirmed(asked, sets, percent), "links")
-    labels = components(links)
-    if large is None:
+
+    def sets_of(keys: DataFrame, name: str) -> DataFrame:
+        return tables.cut(full_sets(docs, classes.join(keys.distinct(), "key", "left_semi")), name)
+
+    links: list[DataFrame] = []
+    rows, labels, sets = root_rows(classes, percent), None, None
+    for depth in range(DEPTHS):
+        held = tables.cut(in_nodes(rows), f"nodes-{depth}")
+        stars = held.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        if labels is not None:  # pairs that are in one component by now need no more
+            a, b = (labels.select(F.col("key").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+            stars = stars.join(a, "a", "left").join(b, "b", "left").where("not coalesce(label_a = label_b, false)").select("a", "b")
+        asked = tables.cut(likely(stars, classes, percent), "likely")
+        if sets is None:
+            sets = sets_of(asked.select(F.col("a").alias("key")).union(asked.select("b")), "sets")
+        links.append(tables.cut(confirmed(asked, sets, percent), "links"))
+        labels = components(reduce(DataFrame.unionByName, links), tables)
+        known = held.where("n > 2").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = known.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
+        open_ = tables.cut(known.join(mixed, "node", "left_semi"), "mixed")
+        few = (F.col("n") <= SMALL) & (F.col("weight") <= SMALL_SHINGLES)
+        hopeful, large = hopeful_rows(open_.where(few), classes, percent, depth == 0, tables), open_.where(~few)
+        if depth == 0:  # the classes of all deeper nodes are among these
+            more = hopeful.select("key").union(large.select("key")).distinct().join(sets, "key", "left_anti")
+            sets = sets.unionByName(sets_of(more, "more-sets"))
+        links.append(exact_links(hopeful, classes, sets, percent, tables))
+        if large.isEmpty():
+            break
+        tight = tables.cut(families(large) if depth + 1 < DEPTHS else large.select("pivot").distinct(), "families")
+        links.append(in_blocks(large.join(tight, "pivot", "left_semi").select(F.col("pivot").alias("node"), "key", "label").distinct(), classes, sets, percent, tables))
+        large = tables.cut(large.join(tight, "pivot", "left_anti"), "branching")
+        if large.isEmpty():
+            break
+        labels, rows = components(reduce(DataFrame.unionByName, links), tables), child_rows(large, classes)
+    if len(links) == 2 and links[-1].isEmpty():
         return labels
-    more = cut(finished(large, classes, labels, sets, percent), "more-links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    return components(reduce(DataFrame.unionByName, links), tables)
+
+
+def _marked(docs: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """doc_id, text_hash, high, low, n_shingles and component of every row."""
+    sketched = tables.cut(sketches(docs), "sketches")
+    by_set = sketched.where("high is not null")
+    least = by_set.groupBy("high", "low").agg(F.min("doc_id").alias("rep")).toDF("h", "w", "rep")
+    first = by_set.join(tables.cut(least, "reps"), (F.col("high") == F.col("h")) & (F.col("low") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    one = first.select("high", "low", "rep", "text_hash", "n_shingles", "tokens").dropDuplicates(["high", "low"])
+    classes = tables.cut(one.withColumn("key", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
+    labels = link_classes(docs, classes, percent, tables)
+    named = classes.select("key", "high", "low", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    lowest = named.groupBy("label").agg(F.min("rep").alias("component"))
+    placed = tables.cut(named.join(lowest, "label").select(F.col("high").alias("h"), F.col("low").alias("w"), "component"), "components")
+    out = sketched.drop("tokens").join(placed, (F.col("high") == F.col("h")) & (F.col("low") == F.col("w")), "left")
+    return out.select("doc_id", "text_hash", "high", "low", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _keeps() -> F.Column:
+    return F.col("component").isNull() | F.col("doc_id").eqNullSafe(F.col("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = OP5_PERCENT) -> DataFrame:
@@ -307,36 +475,36 @@ def near_duplicates(docs: DataFrame, percent: int = OP5_PERCENT) -> DataFrame:
 
     Documents whose sets have a similarity of ``percent`` or more are linked.
     component_id is the least doc_id that a document reaches over links, itself
-    included; kept marks it. Documents without a word (null or empty text) have
-    no shingle, no link and their own component. Rows that share a doc_id are
-    one document where their sets are equal, and may be in two components where
+    included; kept marks it. Only doc_id and text are read, so other columns may
+    have any name. Documents without a word (null or empty text) have no
+    shingle, no link and their own component. Rows that share a doc_id are one
+    document where their sets are equal, and may be in two components where
     not. A row with a null doc_id is compared like others; it never names a
-    component of others, and alone it has a null component and is kept.
+    component of others, and where no row of it has an id the component is null
+    and all are kept. Nothing depends on order or partitioning. An empty table
+    gives no rows.
     """
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = cut(sketches(docs), "sketches")
-    by_set = sketched.where("key is not null")
-    least = by_set.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    rep_rows = by_set.join(cut(least.where("rep is not null"), "classes").withColumnRenamed("key", "class"), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("class")))
-    classes = cut(rep_rows.select("key", "rep", "n_shingles", "tokens").dropDuplicates(["key"]), "class-sketches")
-    labels = link_classes(docs, classes, percent)
-    named = classes.select("key", "rep").join(labels, "key")
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = named.join(cut(lowest, "lowest"), "label").select("key", "component_id")
-    all_classes = classes.select("key", "rep").join(linked, "key", "left").select(F.col("key"), F.coalesce("component_id", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(cut(all_classes, "components"), "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | F.col("doc_id").eqNullSafe(component)).alias("kept")
-    )
+    tables = Tables(docs.sparkSession)
+    marked = _marked(_plain(docs), percent, tables)
+    out = cut(marked.select("doc_id", "n_shingles", F.col("component").alias("component_id"), _keeps().alias("kept")), "near-duplicates")
+    tables.clear()
+    return out
 
 
 def dedup_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one of the least doc_id.
 
-    Of rows with one doc_id and equal text only one stays.
+    Of rows with one doc_id and equal sets one stays, the one of the least hash
+    of the text; of rows with one doc_id in two components each component keeps
+    its own. Rows without a word are linked with nothing and stay, once for
+    each doc_id. Of a component without any doc_id each distinct set stays
+    once. All columns of ``docs`` come back as they were. An empty table gives
+    no rows.
     """
-    marked = near_duplicates(docs, percent)
-    keep = marked.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    tables = Tables(docs.sparkSession)
+    marked = _marked(_plain(docs), percent, tables)
+    keep = cut(marked.where(_keeps()).groupBy("doc_id", "high", "low").agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash"), "kept-documents")
+    tables.clear()
+    by_text = F.xxhash64(F.col("text").cast("string")) == F.col("kept_hash")
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & by_text, "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)

@@ -16,15 +16,15 @@ than a group and a hot source or cluster is spread over all of them.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import ship
 
-#: Capacity of a bin, in characters (code points) of text.
+#: Capacity of a bin, in the unit of the lengths: characters (code points) of text where none are given.
 CAPACITY = 16_384
 
 #: Documents in one packing group, on average.
@@ -34,6 +34,9 @@ GROUP = 8_000
 PER_SOURCE = 4
 
 SCHEMA = "doc_id long, piece int, start long, length long, bin_id string, bin_offset long, bin_fill long"
+ARROW_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("bin_id", pa.string()), ("bin_offset", pa.int64()), ("bin_fill", pa.int64())]
+)
 
 
 class Bins:
@@ -72,51 +75,61 @@ class Bins:
         return number, self.capacity - residual
 
 
-def pack_group(frame: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """Pack one group: longest first, ties by doc_id and cluster."""
-    frame = frame.sort_values(["length", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", na_position="first")
+def pack_group(rows: list[tuple], capacity: int, per_source: int, group: int = 0) -> list[tuple]:
+    """Pack one group of (doc_id, length, source, cluster): longest first, ties by doc_id (null first) and cluster."""
+    rows = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or 0, r[3] is not None, r[3] or 0))
     sources: dict[object, int] = {}
-    seen = frame["cluster"].value_counts()
-    repeated = {c: i for i, c in enumerate(seen.index[seen > 1])}
-    bins, rows, full = Bins(capacity, per_source), [], 0
-    group = int(frame["group"].iloc[0])
-    for doc_id, length, source, cluster in zip(frame["doc_id"], frame["length"], frame["source"], frame["cluster"], strict=True):
+    seen = Counter(r[3] for r in rows)
+    repeated = {c: i for i, c in enumerate(c for c, n in seen.items() if n > 1 and c is not None)}
+    bins, out, full = Bins(capacity, per_source), [], 0
+    for doc_id, length, source, cluster in rows:
         bit = 0 if source is None else 1 << sources.setdefault(source, len(sources))
         alike = 1 << repeated[cluster] if cluster in repeated else 0
-        whole, rest = divmod(int(length), capacity)
+        whole, rest = divmod(length, capacity)
         for k in range(whole):
-            rows.append((doc_id, k, k * capacity, capacity, f"{group}-f{full}", 0))
+            out.append((doc_id, k, k * capacity, capacity, f"{group}-f{full}", 0))
             full += 1
         if rest or not whole:
             number, offset = bins.place(rest, bit, alike) if rest else (None, 0)
-            rows.append((doc_id, whole, whole * capacity, rest, None if number is None else f"{group}-{number}", offset))
-    out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "bin_id", "bin_offset"])
-    out["bin_fill"] = out.groupby("bin_id")["length"].transform("sum")
-    out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-    out["bin_fill"] = pd.array(out["bin_fill"], dtype="Int64")
-    return out
+            out.append((doc_id, whole, whole * capacity, rest, None if number is None else f"{group}-{number}", offset))
+    fill: Counter = Counter()
+    for r in out:
+        fill[r[4]] += r[3]
+    return [(*r, None if r[4] is None else fill[r[4]]) for r in out]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group: int = GROUP) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group: int = GROUP, length: Column | None = None, cluster: Column | None = None
+) -> DataFrame:
     """Pieces of all documents with their bins.
 
-    One row for each piece: doc_id, piece (from 0), start and length in code
-    points of the text, bin_id, bin_offset, and bin_fill, the sum of the bin.
-    Documents with equal text are a duplicate cluster. A null or empty text has
-    one piece of length 0 and no bin (null bin_id). A null source conflicts
-    with none. Repeated rows are packed as often as they occur. The texts stay
-    where they are: only lengths and hashes are exchanged, once.
+    One row for each piece: doc_id, piece (from 0), start and length, bin_id,
+    bin_offset, and bin_fill, the sum of the bin. Lengths are code points of
+    the text unless ``length`` gives others, such as token counts; duplicate
+    clusters are equal texts unless ``cluster`` gives others, such as components
+    of near duplicates. A null or empty text has one piece of length 0 and no
+    bin (null bin_id). A null source or cluster conflicts with none. Repeated
+    rows are packed as often as they occur; they are counted before the
+    exchange and dealt apart, so no group holds all of them. Columns of ``docs``
+    beside doc_id, text and source may have any name and are left out. An empty
+    table gives no rows. The texts stay where they are: only lengths and hashes
+    are exchanged.
     """
     ship(docs.sparkSession)
     groups = max(1, -(-docs.count() // group))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("length"),
+        F.coalesce(F.length("text") if length is None else length, F.lit(0)).cast("long").alias("length"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64("text").alias("cluster"),
-    ).withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", F.lit(3)), F.lit(groups)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(frame.assign(source=frame["source"].where(frame["source"].notna(), None).astype(object)), capacity, per_source)
-
-    return sized.groupBy("group").applyInPandas(run, SCHEMA)
+        (F.when(F.length("text") > 0, F.xxhash64("text")) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
+    )
+    counted = sized.groupBy("doc_id", "length", "source", "cluster").agg(F.count("*").alias("n"))
+    copies = counted.select("doc_id", "length", "source", "cluster", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    dealt = copies.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "copy", F.lit(3)), F.lit(groups))).drop("copy")
+
+    def run(held: pa.Table) -> pa.Table:
+        rows = list(zip(*(held.column(c).to_pylist() for c in ("doc_id", "length", "source", "cluster")), strict=True))
+        packed = pack_group(rows, capacity, per_source, held.column("group")[0].as_py())
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*packed, strict=True), ARROW_SCHEMA.types, strict=True)], schema=ARROW_SCHEMA)
+
+    return dealt.groupBy("group").applyInArrow(run, SCHEMA)

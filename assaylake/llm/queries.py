@@ -1,26 +1,26 @@
-"""One query for each numbered operator, over its whole table, and the pipeline."""
+"""One query for each numbered operator, over its whole table.
+
+What each does with nulls, empty and long texts, ties, repeated rows, empty
+tables and other columns is stated by the operator that it calls.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.llm import bpe, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, topk, url_filter
 from assaylake.llm.common import documents, is_held_out, ship
 
-#: Folder of the public vocabulary files; never copied into the repository.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = is_held_out(F.col("doc_id"))
     model = language_id.train(docs, ~held_out)
-    found = language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
-    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_histogram_sort": op8_histogram_sort,
         "op9_secret_scan": op9_secret_scan,
         "op10_temporal_url_filter": op10_temporal_url_filter,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op7_threshold_top_k": topk.SQL, "op10_temporal_url_filter": url_filter.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+    return {"op7_threshold_top_k": topk.SQL, "op10_temporal_url_filter": url_filter.SQL}

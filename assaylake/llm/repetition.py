@@ -17,13 +17,13 @@ longest repeat have limits of their own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assaylake.llm.common import WORD, ship
+from assaylake.llm.common import WORD, extended, texts_of
 
 #: Words in a repeat that counts.
 WINDOW = 8
@@ -240,36 +240,47 @@ def measure(texts: list[str | None], window: int = WINDOW, words_at_once: int =
     return out.assign(n_repeat_words=[r[0] for r in results], longest_repeat=[r[1] for r in results], covered_share=[r[2] for r in results])
 
 
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, longest_repeat long, covered_share double, "
-    "n_char_repeats long, longest_char_repeat long, char_covered_share double"
-)
+COLUMNS = {
+    "n_words": "long",
+    "word_chars": "long",
+    "n_symbols": "long",
+    "n_dup_lines": "long",
+    "n_repeat_words": "long",
+    "base_failed": "boolean",
+    "kept": "boolean",
+    "longest_repeat": "long",
+    "covered_share": "double",
+    "n_char_repeats": "long",
+    "longest_char_repeat": "long",
+    "char_covered_share": "double",
+}
+
+
+def judged(texts: list[str | None], max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, window: int = WINDOW) -> pd.DataFrame:
+    """The columns of ``COLUMNS`` for whole texts."""
+    out = measure(texts, window)
+    failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
+    kept = ~failed & (out["covered_share"] <= max_covered) & (out["longest_repeat"] <= max_longest)
+    found = [char_repeats(t) if t else (0, 0, 0.0) for t in texts]
+    out = out.assign(**{name: [f[i] for f in found] for i, name in enumerate(("n_char_repeats", "longest_char_repeat", "char_covered_share"))})
+    most = np.maximum(MIN_LONGEST_CHARS, MAX_CHARS_LONGEST * np.array([len(t) if t else 0 for t in texts]))
+    kept &= (out["char_covered_share"] <= MAX_CHARS_COVERED) & (out["longest_char_repeat"] <= most)
+    return out.assign(base_failed=failed, kept=kept)
 
 
 def judge(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, window: int = WINDOW) -> DataFrame:
-    """Base counts, base verdict and the method's verdict for every row of ``docs``.
+    """doc_id, base counts, base verdict and the method's verdict for every row of ``docs``.
 
-    Reads doc_id and text only. A null or empty text has no words, fails the
-    base rule of least words and is not kept. Repeated rows give repeated
-    results. ``longest_repeat`` is in words, ``covered_share`` the share of word
+    Reads doc_id and text only; other columns, whatever their names, are left
+    out. A null or empty text has no words, fails the base rule of least words
+    and is not kept. Repeated rows give repeated results; an empty table gives
+    no rows. ``longest_repeat`` is in words, ``covered_share`` the share of word
     characters under repeats of ``window`` words or more. The last three columns
     tell the same of maximal repeats of CHARS characters or more.
     """
-    ship(docs.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            out = measure(frame["text"].tolist(), window)
-            out.insert(0, "doc_id", pd.array(frame["doc_id"].to_numpy(), dtype="Int64") if not frame["doc_id"].isna().any() else frame["doc_id"].astype("Int64").array)
-            failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
-            kept = ~failed & (out["covered_share"] <= max_covered) & (out["longest_repeat"] <= max_longest)
-            found = [char_repeats(t) if isinstance(t, str) else (0, 0, 0.0) for t in frame["text"]]
-            out = out.assign(**{name: [f[i] for f in found] for i, name in enumerate(("n_char_repeats", "longest_char_repeat", "char_covered_share"))})
-            most = np.maximum(MIN_LONGEST_CHARS, MAX_CHARS_LONGEST * np.array([len(t) if isinstance(t, str) else 0 for t in frame["text"]]))
-            kept &= (out["char_covered_share"] <= MAX_CHARS_COVERED) & (out["longest_char_repeat"] <= most)
-            yield out.assign(base_failed=failed, kept=kept)[[c.split()[0] for c in SCHEMA.split(", ")]]
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+
+    def make(piece: pa.RecordBatch) -> dict:
+        out = judged(texts_of(piece), max_covered, max_longest, window)
+        return {name: out[name].to_numpy() for name in COLUMNS}
+
+    return extended(docs.select("doc_id", "text"), COLUMNS, make, drop=("text",))

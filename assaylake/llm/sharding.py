@@ -6,7 +6,8 @@ boundaries are found by counting: each round splits the ranges that still hold
 a boundary into equal cells, counts the exact bytes in every cell across all
 partitions, and keeps the cell with the boundary, until the bytes below each
 splitter are within a tolerance of its target or the cell holds a single row.
-A range of one text goes on to the hash of the id, so a text that a third of
+Equal texts stay in one shard unless together they are larger than a shard's
+share; then the range goes on to the hash of the id, so a text that a third of
 all rows share is cut like any other stretch. Then rows are exchanged once.
 
 Only counts reach the driver: at most ``shards * CELLS`` rows a round.
@@ -120,6 +121,9 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                 start = r.key(least) if before <= after else r.key(min(greatest + 1, _TOP))
                 found[k] = start
                 del open_[k]
+            elif least == greatest and not r.fixed and size <= total / shards:  # equal texts stay together
+                found[k] = r.key(least) if before <= after else r.key(min(greatest + 1, _TOP))
+                del open_[k]
             elif least == greatest:
                 open_[k] = (Range((*r.fixed, least)), below)
             else:
@@ -141,9 +145,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
 
     Returns doc_id, size (UTF-8 bytes and 8), text_crc32 (null for a null
     text), law, shard, slot (from 0 without gaps) and grown_shard (null). The
-    law is ``bytes``: sizes of shards differ by the tolerance and by at most
-    the row at each boundary. A null text has 8 bytes; repeated rows are placed
-    as often as they occur; an empty table gives no rows.
+    law is ``bytes``: a shard's size differs from its share by the tolerance and
+    at most half the group of equal texts, or the one row, at each of its
+    boundaries; a group is cut only where it is larger than a share. A null text
+    has 8 bytes and null texts are a group; repeated rows are placed as often as
+    they occur; columns beside doc_id and text are left out; an empty table
+    gives no rows.
     """
     rows = cut(sized(docs), "shard-keys")
     placed = rows.withColumn("shard", _shard(splitters(rows, shards, tolerance)))

@@ -27,12 +27,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assaylake.llm.common import batches, cut, ship
+from assaylake.llm.common import cut, extended, pieces_of, ship, texts_of
 
 #: Consecutive sentences in a run, and the words that a run must have to count.
 SPAN = 2
@@ -45,7 +44,10 @@ _cut = re.compile(r"[.!?]\s+|\n\s*")
 
 _NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int32),)
 
-RUNS = "row_key long, doc_id long, at int, size int, hash long, check int"
+#: A row is known by 128 bits of its id and text.
+ROW = ("row_key", "row_check")
+
+RUNS = "row_key long, row_check long, doc_id long, at int, size int, hash long, check int"
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -148,75 +150,84 @@ def run_hashes(text: str, span: int, min_words: int, every_length: bool = False)
 
 
 def runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
-    """Every run of (row_key, doc_id, text); ``at`` is its first unit, ``size`` its number of units."""
+    """Every run of (row_key, row_check, doc_id, text); ``at`` is its first unit, ``size`` its number of units."""
+    kinds = {"at": pa.int32(), "size": pa.int32(), "hash": pa.int64(), "check": pa.int32()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            found = [run_hashes(t, span, min_words, every_length) if isinstance(t, str) else _NONE for t in frame["text"]]
-            times = [len(f[0]) for f in found]
-            out = pd.DataFrame({"row_key": frame["row_key"].to_numpy().repeat(times), "doc_id": frame["doc_id"].astype("Int64").array.repeat(times)})
-            yield out.assign(**{name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("at", "size", "hash", "check"))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch, "text"):
+                found = [run_hashes(t, span, min_words, every_length) if t else _NONE for t in texts_of(piece)]
+                rows = pa.array(np.arange(len(found)).repeat([len(f[0]) for f in found]))
+                columns = {name: piece.column(name).take(rows) for name in (*ROW, "doc_id")}
+                columns |= {name: pa.array(np.concatenate([f[i] for f in found]), kind) for i, (name, kind) in enumerate(kinds.items())}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return keyed.mapInPandas(run, RUNS)
+    return keyed.mapInArrow(run, RUNS)
 
 
 def later_runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
-    """(row_key, starts): places (at, size) of runs that are not the first of their kind."""
+    """(row_key, row_check, starts): places (at, size) of runs that are not the first of their kind."""
     first = (
         runs(keyed, span, min_words, every_length)
         .groupBy("hash", "check")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "at")).alias("first"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", *ROW, "at")).alias("first"))
         .where("n > 1")
-        .select("hash", "check", F.col("first.row_key").alias("first_key"), F.col("first.at").alias("first_at"))
+        .select("hash", "check", *(F.col(f"first.{c}").alias(f"first_{c}") for c in (*ROW, "at")))
     )
-    later = runs(keyed, span, min_words, every_length).join(cut(first, "repeated-runs"), ["hash", "check"]).where("not (row_key = first_key and at = first_at)")
-    return later.groupBy("row_key").agg(F.collect_set(F.struct("at", "size")).alias("starts"))
+    later = runs(keyed, span, min_words, every_length).join(cut(first, "repeated-runs"), ["hash", "check"])
+    later = later.where("not (row_key = first_row_key and row_check = first_row_check and at = first_at)")
+    return later.groupBy(*ROW).agg(F.collect_set(F.struct("at", "size")).alias("starts"))
+
+
+_SPANS = ("array<struct<start:bigint,end:bigint>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
 
 def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
     """``docs`` with repeated sentence spans removed from the text.
 
     Adds n_sentences, n_removed (sentences of which a piece or all is taken
-    out) and removed, the (start, end) code points of the stretches taken out. The first occurrence is the one of the smallest
-    doc_id (null first), then of a hash of doc_id and text, then of the
-    earliest place; rows equal in both are one text and keep the same.
-    A null text stays null and has no sentences. A text without a later repeat
-    is returned character for character. Columns of ``docs`` with the added
-    names are replaced; all others are kept.
+    out) and removed, the (start, end) code points of the stretches taken out.
+    The first occurrence is the one of the smallest doc_id (null first), then
+    of a hash of doc_id and text, then of the earliest place; rows equal in both
+    are one text and keep the same. A null text stays null and has no
+    sentences. A text without a later repeat is returned character for
+    character. Columns of ``docs`` with the added names are replaced; all others
+    come back as they were. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     added = ("n_sentences", "n_removed", "removed")
-    names = [c for c in docs.columns if c not in (*added, "row_key", "starts")]
-    keyed = docs.select(*names, F.xxhash64("doc_id", "text").alias("row_key"))
-    starts = later_runs(keyed.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text"), span, min_words, every_length)
-    joined = keyed.join(starts.hint("shuffle_hash"), "row_key", "left").drop("row_key")
-    fields = [joined.schema[c] for c in names]
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            texts, counts, gone, cuts = [], [], [], []
-            for text, at in zip(frame["text"], frame["starts"], strict=True):
-                own, owners = units(text, every_length) if isinstance(text, str) else ([], [])
-                dead = {i for r in at for i in range(r["at"], r["at"] + r["size"])} if at is not None and len(own) else set()
-                stretches: list[dict[str, int]] = []
-                for i in sorted(dead):
-                    if stretches and stretches[-1]["end"] == own[i][0]:
-                        stretches[-1]["end"] = own[i][1]
-                    else:
-                        stretches.append({"start": own[i][0], "end": own[i][1]})
-                texts.append(text if not dead else "".join(text[a:b] for i, (a, b, _) in enumerate(own) if i not in dead))
-                counts.append(owners[-1] + 1 if owners else 0)
-                gone.append(len({owners[i] for i in dead}))
-                cuts.append(stretches)
-            yield frame.drop(columns="starts").assign(text=texts, n_sentences=counts, n_removed=gone, removed=cuts)
-
-    return joined.select(*names, "starts").mapInPandas(run, schema)
+    names = [c for c in docs.columns if c not in (*added, *ROW, "starts")]
+    keyed = docs.select(*names, F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64(F.lit(97), "text", "doc_id").alias("row_check"))
+    starts = later_runs(keyed.select(*ROW, F.col("doc_id").cast("long").alias("doc_id"), "text"), span, min_words, every_length)
+    joined = keyed.join(starts.hint("shuffle_hash"), list(ROW), "left").select(*names, "starts")
+
+    def make(piece: pa.RecordBatch) -> dict:
+        texts, counts, gone, cuts = [], [], [], []
+        for text, at in zip(texts_of(piece), piece.column("starts").to_pylist(), strict=True):
+            own, owners = units(text, every_length) if text else ([], [])
+            dead = {i for r in at for i in range(r["at"], min(r["at"] + r["size"], len(own)))} if at else set()
+            stretches: list[dict[str, int]] = []
+            for i in sorted(dead):
+                if stretches and stretches[-1]["end"] == own[i][0]:
+                    stretches[-1]["end"] = own[i][1]
+                else:
+                    stretches.append({"start": own[i][0], "end": own[i][1]})
+            texts.append(text if not dead else "".join(text[a:b] for i, (a, b, _) in enumerate(own) if i not in dead))
+            counts.append(owners[-1] + 1 if owners else 0)
+            gone.append(len({owners[i] for i in dead}))
+            cuts.append(stretches)
+        return {"text": texts, "n_sentences": counts, "n_removed": gone, "removed": cuts}
+
+    return extended(joined, {"text": "string", "n_sentences": "long", "n_removed": "long", "removed": _SPANS}, make, drop=("starts",))
 
 
 def dedup_documents(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = True) -> DataFrame:
-    """The columns of ``docs`` only, n_chars counted anew; documents left without a word go."""
+    """The columns of ``docs`` only, n_chars counted anew; documents left without a word go.
+
+    Null texts, repeated rows, other columns and empty tables as in ``dedup``:
+    documents from which nothing is removed stay as they were, null or empty
+    ones too.
+    """
     out = dedup(docs, span, min_words, every_length).where("n_removed = 0 or text rlike '\\\\S'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

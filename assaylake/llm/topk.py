@@ -28,7 +28,7 @@ EVERY = 50
 
 #: Vectors and queries in a block, on average.
 BLOCK = 8192
-QUERIES = 2048
+QUERIES = 8192
 
 #: Entries that a query reads from each list at first; each further step reads twice as many.
 FIRST_STEP = 16
@@ -88,6 +88,9 @@ def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
         if not len(held):
             continue
         rows, ids = np.stack(held["v"].to_numpy()).astype(np.int64), held["vec_id"].to_numpy()
+        largest = max(int(np.abs(rows).max(initial=0)), max(int(np.abs(np.asarray(v)).max(initial=0)) for v in asked["v"]))
+        if largest * largest * length >= 1 << 63:
+            raise ValueError("components are too large for scores of 64 bits")
         order = np.ascontiguousarray(rows.argsort(axis=0, kind="stable").T)
         for query_id, v in zip(asked["vec_id"], asked["v"], strict=True):
             got, scores = search(np.asarray(v, np.int64), query_id, ids, rows, order, k)
@@ -102,7 +105,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec: str = "embedd
     integers; fewer than k rows where there are fewer candidates. Rows with a
     null id, or a vector that is null, empty or holds a null or non-finite
     component, take no part. A query is not its own candidate, nor is a row
-    that repeats its id; rows that repeat another id are ranked once each.
+    that repeats its id; rows that repeat another id are ranked once each. A
+    query id with several vectors is searched by the least of them, compared
+    component by component. Ties of score go to the smaller vec_id. Vectors of
+    unequal length never meet. Components so large that a score could leave 64
+    bits are an error. Other columns are left out; an empty table gives no rows.
     """
     ship(vectors.sparkSession)
     total = vectors.count()
@@ -111,7 +118,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec: str = "embedd
     dealt = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("g"))
     asked = (
         rows.where(F.col("vec_id") % every == 0)
-        .dropDuplicates(["vec_id"])
+        .groupBy("vec_id")
+        .agg(F.min("v").alias("v"))
         .select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_groups)).alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
     )
 
@@ -134,11 +142,11 @@ with v as (
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+asked as (select vec_id, min(e) as e from v where vec_id % {EVERY} = 0 group by vec_id),
 scored as (
   select q.vec_id as query_id, c.vec_id as vec_id,
          cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)
-  where q.vec_id % {EVERY} = 0),
+  from asked q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= {K}
 """

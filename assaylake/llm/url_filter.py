@@ -67,22 +67,21 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     Returns page_id, host, fetched, verdict (``block``, ``allow`` or
     ``unlisted``), entry (the deciding key) and n_active, the number of active
     entries that match. A null or malformed URL has a null host and is
-    unlisted, and so is a capture with a null fetch day. Repeated captures give
-    repeated results.
+    unlisted, and so is a capture with a null fetch day; neither takes part in
+    the lookup. Repeated captures give repeated results. Other columns are left
+    out, whatever their names; an empty table gives no rows, an empty list
+    leaves all unlisted.
     """
     active = cut(intervals(events), "list-intervals")
-    keyed = captures.withColumn("rid", F.monotonically_increasing_id()).select(
-        "rid",
-        "page_id",
-        F.nullif(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"),
-        "fetched",
-        F.explode(F.coalesce(lookup_keys(F.col("url")), F.array(F.lit("")))).alias("key"),
-    )
+    hosted = captures.select("page_id", "url", F.nullif(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")).alias("host"), "fetched")
+    known = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    rest = hosted.where(~known).select("page_id", "host", "fetched", F.lit("unlisted").alias("verdict"), F.lit(None).cast("string").alias("entry"), F.lit(0).cast("long").alias("n_active"))
+    keyed = hosted.where(known).withColumn("rid", F.monotonically_increasing_id()).select("rid", "page_id", "host", "fetched", F.explode(lookup_keys(F.col("url"))).alias("key"))
     matched = keyed.join(active, (keyed["key"] == active["key"]) & (keyed["fetched"] >= active["valid_from"]) & (keyed["fetched"] < active["valid_to"]), "left").select(
         "rid", "page_id", "host", "fetched", active["key"].alias("entry"), "action"
     )
     best = F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), (F.col("action") == "allow").alias("allow"), "entry")))
-    return (
+    looked_up = (
         matched.groupBy("rid")
         .agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("fetched").alias("fetched"), best.alias("best"), F.count("entry").alias("n_active"))
         .select(
@@ -94,6 +93,7 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
             "n_active",
         )
     )
+    return looked_up.unionByName(rest)
 
 
 def _number(column: str) -> str:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.llm import near_dup
+from assaylake.llm.common import Tables
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -74,16 +76,33 @@ def test_against_brute_force(planted):
     assert got == brute(planted.collect())
 
 
-def test_large_nodes_lose_no_link(planted, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 3)
+@pytest.mark.parametrize("small", [3, 20])
+def test_large_nodes_lose_no_link(planted, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(planted).collect()}
     assert got == brute(planted.collect())
 
 
+def test_template_family_below_the_threshold(spark):
+    """Many texts of one template, few of them linked: the result is that of brute force."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(2, 14)):
+            words[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(docs.collect())
+    assert len({root for _, root in want.values()}) > 50
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)], "a long, b long")
-    got = {r.key: r.label for r in near_dup.components(links).collect()}
+    got = {r.key: r.label for r in near_dup.components(links, Tables(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 150: 100}
 
 
@@ -117,5 +136,24 @@ def test_threshold_of_the_stage(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
-def test_least_agreeing_follows_the_threshold():
-    assert near_dup.least_agreeing(85) == 39 and near_dup.least_agreeing(80) == 34
+def test_rare_misses():
+    """The test on minwise tokens and the number of trees keep to their chances."""
+    for percent in (80, 85):
+        p, least = percent / 100, near_dup.least_agreeing(percent)
+        fewer = sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(least))
+        assert fewer <= near_dup.MISS_TEST < fewer + math.comb(64, least) * p**least * (1 - p) ** (64 - least)
+        assert (1 - p**3) ** near_dup.trees(percent) <= near_dup.MISS
+
+
+def test_large_ids_beside_a_null(spark):
+    big, text = 2**60 + 1, "one two three four five six seven"
+    docs = spark.createDataFrame([(big, text), (None, text), (big + 2, text + " eight"), (None, "other words")], "doc_id long, text string").coalesce(1)
+    rows = near_dup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, big), (big, big), (big + 2, big + 2)]
+    assert {r.doc_id for r in near_dup.dedup_documents(docs).collect()} == {big, big + 2, None}
+
+
+def test_one_id_in_two_components(spark):
+    t, u = "a b c d e f g h i j", "q r s t u v w x y z"
+    docs = spark.createDataFrame([(2, t), (4, u), (4, t), (4, t.upper())], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dup.dedup_documents(docs).collect()) == [(2, t), (4, u)]
