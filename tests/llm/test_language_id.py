@@ -43,3 +43,20 @@ def test_odd_rows(odd_docs, no_docs):
             assert r.lang_pred in {"en", "de", "fr", "la"} and 0 <= r.score <= 1
     assert language_id.train(no_docs, F.lit(True)) is None
     assert {r.lang_pred for r in language_id.predict(odd_docs, None).collect()} == {"und"}
+
+
+def test_marks_alone_are_no_letter(spark):
+    docs = spark.createDataFrame([(1, "\u0301\u0308 \u0301", None), (2, "ein Satz", "de"), (3, "a sentence", "en")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert language_id.predict(docs, model).where("doc_id = 1").first().lang_pred == "und"
+
+
+def test_copies_do_not_crowd_the_sample(spark):
+    """One text holds nearly all rows; the model still knows the others."""
+    words = {"en": "the of and to in is that", "de": "der die und zu den ist das"}
+    rows = [(lang, " ".join([w.split()[i % 7], w.split()[i % 5], w, str(i)])) for lang, w in words.items() for i in range(40)]
+    rows += [("en", "one text that comes again")] * 5000
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.train(docs, F.lit(True), rows_per_language=6000)
+    got = language_id.predict(spark.createDataFrame([("der die das",), ("the of that",)], "text string"), model)
+    assert [r.lang_pred for r in got.collect()] == ["de", "en"]

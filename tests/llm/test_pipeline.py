@@ -14,7 +14,7 @@ def test_stages_take_effect(spark):
         assert frame.columns == docs.columns and frame.schema == docs.schema
     first, by_language, unique, cut_down, masked, packed = kept
     assert by_language.count() <= first.count()
-    assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in near_dup.near_duplicates(by_language).where("kept").collect()}
+    assert {r.doc_id for r in unique.collect()} == {r.doc_id for r in near_dup.near_duplicates(by_language, near_dup.PERCENT).where("kept").collect()}
     assert substring_dedup.dedup(cut_down).where("n_removed > 0").count() <= substring_dedup.dedup(unique).where("n_removed > 0").count()
     assert not any(secrets.base_spans(r.text) for r in masked.collect())
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}

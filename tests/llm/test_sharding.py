@@ -41,3 +41,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == 12 and {r.size for r in rows if r.text_crc32 is None} == {8}
     check(docs, rows, 3)
     assert sharding.shard(no_docs).count() == 0
+
+
+def test_equal_texts_stay_together(spark):
+    """600 groups of a dozen copies, each far smaller than a share: no group is cut."""
+    docs = spark.range(7200).select(F.col("id").alias("doc_id"), F.format_string("text number %d of the groups", F.col("id") % 600).alias("text"))
+    rows = sharding.shard(docs).collect()
+    check(docs, rows, 24)
+    held = defaultdict(set)
+    for r in rows:
+        held[r.text_crc32].add(r.shard)
+    assert len(held) == 600 and all(len(s) == 1 for s in held.values())

@@ -46,3 +46,11 @@ def test_search_stops_early():
 
     ids, scores = topk.search(np.array([1, 1, 1]), -1, np.arange(5000), rows, np.asarray(order).view(Counted), 1)
     assert ids[0] == 17 and scores[0] == 2700 and len(reads) <= 4
+
+
+def test_repeated_ids(spark):
+    """A query id with two vectors is searched by the least one, however the rows lie."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    for order in (rows, rows[::-1]):
+        got = topk.top_k(spark.createDataFrame(order, "vec_id long, embedding array<float>").repartition(3)).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(2, 3 * 65536), (1, 0)]

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from assaylake.llm import url_filter
 
 D = dt.date
@@ -34,3 +36,12 @@ def test_as_of_verdicts(spark):
     want = [(1, "unlisted", None, 0), (2, "block", "example.com", 1), (3, "allow", "www.example.com", 2), (4, "block", "www.example.com/x", 3), (5, "block", "example.com", 1), (5, "block", "example.com", 1), (6, "unlisted", None, 0), (7, "unlisted", None, 0), (8, "unlisted", None, 0), (9, "unlisted", None, 0), (-1, "block", "example.com", 1)]
     assert got == sorted(want, key=str)
     assert url_filter.evaluate(captures.limit(0), events.limit(0)).count() == 0
+
+
+def test_rows_without_a_host_and_clashing_columns(spark):
+    events = spark.createDataFrame([("a.org", "block", "add", "2024-01-05")], "key string, action string, event string, at string").withColumn("at", F.col("at").cast("date"))
+    rows = [(2**60 + 1, "http://a.org/x"), (None, "http://a.org/y"), (3, None), (4, "no url"), (5, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched", F.lit("2024-02-01").cast("date"))
+    odd = pages.withColumns({name: F.lit("x") for name in ("rid", "host", "key", "entry", "action", "verdict", "valid_from", "n_active")})
+    got = {(r.page_id, r.host, r.verdict, r.n_active) for r in url_filter.evaluate(odd, events).collect()}
+    assert got == {(2**60 + 1, "a.org", "block", 1), (None, "a.org", "block", 1), (3, None, "unlisted", 0), (4, None, "unlisted", 0), (5, None, "unlisted", 0)}
