@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import language_id, near_dup, packing, secrets, substring_dedup
-from assaylake.llm.common import cut, documents, is_held_out
 
 #: An ambiguous language goes only where the nearest codeword is less likely than this.
 LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter at all, or no codeword near enough."""
+    """Drop documents without a language: no letter at all (null and empty texts too), or no codeword near enough.
+
+    All others stay as they were, repeated rows and rows without an id too.
+    """
+    from assaylake.llm import language_id
+    from assaylake.llm.common import is_held_out
+
     model = language_id.train(docs, ~is_held_out(F.col("doc_id")))
     found = language_id.predict(docs, model)
     undecided = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
@@ -27,22 +31,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, linked at a similarity of 0.8 or more."""
+    """Keep one document of each group of near duplicates, linked at a similarity of 0.8 or more.
+
+    It is the one of the least doc_id; rows without a word, without an id and
+    repeated rows are treated as ``near_dup.dedup_documents`` states.
+    """
+    from assaylake.llm import near_dup
+
     return near_dup.dedup_documents(docs, near_dup.PERCENT)
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove sentences under a repeated span; a document left without a word goes."""
+    """Remove sentences under a repeated span; a document left without a word goes.
+
+    Null and empty texts stay; of repeated rows, which are one text, all keep the same.
+    """
+    from assaylake.llm import substring_dedup
+
     return substring_dedup.dedup_documents(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret found."""
+    """Mask every secret found; null texts, repeated rows and other columns come back as they were."""
+    from assaylake.llm import secrets
+
     return secrets.redact(docs, secrets.train(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into bins."""
+    """Pack what is left into bins, one row for each piece; null and empty texts have a piece without a bin."""
+    from assaylake.llm import packing
+
     return packing.pack(docs)
 
 
@@ -59,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; an empty table passes through all of them."""
+    from assaylake.llm.common import cut, documents
+
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
