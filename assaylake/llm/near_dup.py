@@ -244,44 +244,43 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Agreeing tokens of each row of x with each row of y."""
+    if len(x) * len(y) < 1024:
+        return (x[:, None, :] == y[None, :, :]).sum(2)
     out = np.zeros((len(x), len(y)), np.uint8)
     for c in range(PERMUTATIONS):
         out += x[:, c, None] == y[None, :, c]
     return out
 
 
-def _hopeful(frame: pd.DataFrame, percent: int, own_roots: list[list[int]], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, agreement) of ``rows`` with other rows of a node that may be linked, across components.
+def _outside(labels: np.ndarray) -> np.ndarray:
+    """Rows outside the largest component of a node: one of them is in every pair across components."""
+    found, counts = np.unique(labels, return_counts=True)
+    return np.flatnonzero(labels != found[counts.argmax()])
+
+
+def _hopeful(tokens: np.ndarray, node: dict[str, np.ndarray], percent: int, own_roots: list[list[int]]) -> np.ndarray:
+    """Rows of a node that may be linked to another across components.
 
     A pair that meets in the exhaustive node of an earlier tree is left to that
     tree; ``done`` holds a bit for each tree in which a class has such a node.
     Pairs with the pivot were confirmed before.
     """
-    tokens = np.stack(frame["tokens"].to_numpy())
-    labels, sizes, keys, done = (frame[c].to_numpy() for c in ("label", "n_shingles", "key", "done"))
-    tree, least, others = int(frame["tree"].iloc[0]), least_agreeing(percent), keys != frame["pivot"].iloc[0]
-    out = []
+    labels, sizes, done = node["label"], node["n_shingles"], node["done"]
+    tree, least, others = int(node["tree"][0]), least_agreeing(percent), node["key"] != node["pivot"][0]
+    rows, found = _outside(labels), []
     rows = rows[others[rows]]
     for at in range(0, len(rows), 64):
         part = rows[at : at + 64]
-        agree = _agreeing(tokens[part], tokens)
         fit = 100 * np.minimum(sizes[part, None], sizes) >= percent * np.maximum(sizes[part, None], sizes)
-        i, j = np.nonzero((agree >= least) & (labels[part, None] != labels) & fit & others)
-        same = agree[i, j]
+        i, j = np.nonzero(fit & others & (labels[part, None] != labels) & (_agreeing(tokens[part], tokens) >= least))
         i = part[i]
         for t in range(tree):
             if not len(i):
                 break
-            x, y = tokens[:, own_roots[t]][i], tokens[:, own_roots[t]][j]
-            fresh = (done[i] >> t & 1 == 0) | (x != y).any(1)
-            i, j, same = i[fresh], j[fresh], same[fresh]
-        out.append((i, j, same))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, int),) * 3
-
-
-def _outside(frame: pd.DataFrame) -> np.ndarray:
-    """Rows outside the largest component of a node: one of them is in every pair across components."""
-    return np.flatnonzero((frame["label"] != frame["label"].mode().iloc[0]).to_numpy())
+            fresh = (done[i] >> t & 1 == 0) | (tokens[i][:, own_roots[t]] != tokens[j][:, own_roots[t]]).any(1)
+            i, j = i[fresh], j[fresh]
+        found += [i, j]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, int)
 
 
 def _meeting(one: list[np.ndarray], two: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -334,7 +333,8 @@ def _forest(i: np.ndarray, j: np.ndarray, one: pd.DataFrame, two: pd.DataFrame)
 
 def links_within(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that unite the components of a node as far as its full sets do; fewer than it has classes."""
-    labels, outside = frame["label"].to_numpy(), _outside(frame)
+    labels = frame["label"].to_numpy()
+    outside = _outside(labels)
     own = frame.iloc[outside]
     i, j = np.nonzero(_similar(own, frame, percent) & (own["label"].to_numpy()[:, None] != labels)) if len(own) else (outside, outside)
     return _forest(i, j, own, frame)
@@ -354,12 +354,13 @@ def hopeful_rows(small: DataFrame, classes: DataFrame, percent: int, first: bool
     bit = F.expr("shiftleft(1L, tree)") if first else F.lit(0).cast("long")
     rows = small.join(small.groupBy("key").agg(F.bit_or(bit).alias("done")), "key")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second, _ = _hopeful(frame, percent, own_roots, _outside(frame))
-        return frame.iloc[np.unique(np.concatenate([first, second]))][["node", "key", "label"]]
+    def run(held: pa.Table) -> pa.Table:
+        tokens = held.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, PERMUTATIONS)
+        node = {name: held.column(name).to_numpy() for name in ("tree", "key", "pivot", "label", "done", "n_shingles")}
+        return held.select(["node", "key", "label"]).take(_hopeful(tokens, node, percent, own_roots))
 
     shown = rows.join(classes.select("key", "n_shingles", "tokens"), "key")
-    return tables.cut(shown.groupBy("node").applyInPandas(run, "node long, key long, label long"), "hopeful")
+    return tables.cut(shown.groupBy("node").applyInArrow(run, "node long, key long, label long"), "hopeful")
 
 
 def exact_links(asked: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
