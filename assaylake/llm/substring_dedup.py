@@ -21,9 +21,6 @@ so that Spark splits its skewed keys.
 
 from __future__ import annotations
 
-import hashlib
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,126 +37,179 @@ MIN_WORDS = 12
 #: Sentences of more words are cut into pieces of LEAST_PIECE to LONG words, after one word in CUT_EVERY.
 LONG, LEAST_PIECE, CUT_EVERY = 24, 4, 8
 
-_cut = re.compile(r"[.!?]\s+|\n\s*")
-
-_NONE = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int32),)
-
 #: A row is known by 128 bits of its id and text.
 ROW = ("row_key", "row_check")
 
 RUNS = "row_key long, row_check long, doc_id long, at int, size int, hash long, check int"
 
+#: Characters of texts that are cut at once.
+CHARS = 500_000
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence; the ends are the next starts, so the spans tile the text."""
-    out, at = [], 0
-    for m in _cut.finditer(text):
-        if words := text[at : m.end()].lower().split():
-            out.append((at, m.end(), words))
-            at = m.end()
-    if words := text[at:].lower().split():
-        out.append((at, len(text), words))
-    elif out:
-        out[-1] = (out[-1][0], len(text), out[-1][2])
-    return out
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
+_tables: tuple[np.ndarray, np.ndarray] | None = None
+_powers: dict[int, np.ndarray] = {}
 
-_spaced = re.compile(r"\S+\s*")
 
+def _char_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower case, where that is one code point, and whether it is white space."""
+    global _tables
+    if _tables is None:
+        lower, space = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+        for c in map(chr, range(0x110000)):
+            if c != (low := c.lower()) and len(low) == 1:
+                lower[ord(c)] = ord(low)
+            space[ord(c)] = c.isspace()
+        _tables = lower, space
+    return _tables
 
-def pieces(text: str) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
-    """Pieces of all sentences like ``sentences``, and the number of its sentence for each."""
-    out: list[tuple[int, int, list[str]]] = []
-    owners: list[int] = []
-    for number, (start, end, words) in enumerate(sentences(text)):
-        first = len(out)
-        if len(words) > LONG:
-            starts = [start + m.start() for m in _spaced.finditer(text[start:end])]
-            at = 0
-            for i in range(1, len(words)):
-                if i - at >= LONG or (i - at >= LEAST_PIECE and zlib.crc32(words[i - 1].encode("utf-8", "surrogatepass")) % CUT_EVERY == 0):
-                    out.append((starts[at] if at else start, starts[i], words[at:i]))
-                    at = i
-            out.append((starts[at] if at else start, end, words[at:]))
+
+def _grown(base: int, n: int) -> np.ndarray:
+    """Powers of an odd base, modulo 2**64, at least n of them."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = _powers[base] = np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64).cumprod(dtype=np.uint64)])
+    return held
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+class Cut:
+    """Texts cut into words, sentences and units, as arrays over all of them.
+
+    ``hashes``: two 64-bit hashes of each word in lower case. ``first``: the
+    first word of each unit, and the number of words at the end. ``starts``: the
+    code point of its text where each unit begins. ``owners``: the sentence of
+    each unit, numbered through all texts. ``places``: the first unit of each
+    text, and the number of units at the end. A unit is a sentence, or with
+    ``every_length`` a piece of one; null texts have none.
+    """
+
+    def __init__(self, texts: list[str | None], every_length: bool):
+        lower, space = _char_tables()
+        self.texts = [t or "" for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in self.texts])])  # a newline parts two texts
+        points = np.frombuffer("\n".join([*self.texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = ~space[points]
+        turns = np.flatnonzero(np.concatenate([inside[:1], inside[1:] != inside[:-1]]))
+        starts, ends = turns[::2], turns[1::2]
+        n, size = len(starts), ends - starts
+        at = np.cumsum(size) - size
+        letters = lower[points[inside]].astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(letters)) - at.repeat(size)
+        longest = int(size.max(initial=0))
+        if n:
+            self.hashes = [_mixed(np.add.reduceat(letters * _grown(int(base), longest)[place], at) + size.astype(np.uint64)) for base in (_P, _Q)]
         else:
-            out.append((start, end, words))
-        owners += [number] * (len(out) - first)
-    return out, owners
+            self.hashes = [np.zeros(0, np.uint64)] * 2
+        # a sentence ends before white space with a newline in it, or that follows an end mark
+        lines, mark = np.concatenate([[0], np.cumsum(points == 10)]), points[ends[:-1] - 1]
+        stops = (mark == 33) | (mark == 46) | (mark == 63) | (lines[starts[1:]] > lines[ends[:-1]])
+        sentence = np.concatenate([[0], np.flatnonzero(stops) + 1]) if n else np.zeros(0, np.int64)
+        counts = np.diff(np.append(sentence, n))
+        first, self.owners = sentence, np.arange(len(sentence))
+        if every_length and (counts > LONG).any():
+            marked = np.flatnonzero(self.hashes[0] % np.uint64(CUT_EVERY) == 0) + 1
+            cuts = [c for i in np.flatnonzero(counts > LONG) for c in _cuts(int(sentence[i]), int(sentence[i] + counts[i]), marked)]
+            first = np.sort(np.concatenate([sentence, np.array(cuts, np.int64)]))
+            self.owners = np.searchsorted(sentence, first, side="right") - 1
+        self.first = np.append(first, n)
+        number = np.searchsorted(offsets, starts[first], side="right") - 1
+        self.places = np.searchsorted(number, np.arange(len(self.texts) + 1))
+        self.starts = starts[first] - offsets[number]
+        self.starts[self.places[:-1][np.diff(self.places) > 0]] = 0
+
+    def edges(self, number: int) -> np.ndarray:
+        """Where the units of one text begin, and its end."""
+        return np.append(self.starts[self.places[number] : self.places[number + 1]], len(self.texts[number]))
+
+    def own(self, number: int) -> np.ndarray:
+        """The sentence of each unit of one text, from 0."""
+        owners = self.owners[self.places[number] : self.places[number + 1]]
+        return owners - owners[:1]
+
+
+def _cuts(at: int, end: int, marked: np.ndarray) -> list[int]:
+    """Words before which a long sentence of the words ``at`` to ``end`` is cut: after marked words, LEAST_PIECE to LONG words apart."""
+    out = []
+    low, high = np.searchsorted(marked, [at + 1, end])
+    for c in [*marked[low:high].tolist(), end]:
+        while c - at > LONG or (c - at == LONG and c < end):
+            at += LONG
+            out.append(at)
+        if LEAST_PIECE <= c - at and c < end:
+            at = c
+            out.append(at)
+    return out
 
 
-def units(text: str, every_length: bool) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
-    """What runs are made of, and the number of its sentence for each."""
-    if every_length:
-        return pieces(text)
-    own = sentences(text)
-    return own, list(range(len(own)))
+def _described(text: str, every_length: bool) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
+    cut = Cut([text], every_length)
+    edges = cut.edges(0).tolist()
+    return [(a, b, text[a:b].lower().split()) for a, b in zip(edges, edges[1:])], cut.own(0).tolist()
+
+
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each sentence; the ends are the next starts, so the spans tile the text."""
+    return _described(text, False)[0]
+
+
+def pieces(text: str) -> tuple[list[tuple[int, int, list[str]]], list[int]]:
+    """Pieces of all sentences like ``sentences``, and the number of its sentence for each."""
+    return _described(text, True)
 
 
-def run_places(counts: np.ndarray, owners: np.ndarray, span: int, min_words: int, every_length: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First and end units of each run that has enough words, each run once."""
-    n = len(counts)
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    edges = np.concatenate([np.flatnonzero(np.diff(owners, prepend=-1)), [n]])
+def run_places(cut: Cut, span: int, min_words: int, every_length: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and end units of each run that has enough words, in the order of the texts, each run once."""
+    n, sums, owners = len(cut.owners), cut.first, cut.owners
+    number = np.arange(len(cut.texts)).repeat(np.diff(cut.places))
+    edges = np.append(np.flatnonzero(np.diff(owners, prepend=-1)), n)
     firsts, ends = edges[: max(0, len(edges) - span)], edges[span:]
-    enough = sums[ends] - sums[firsts] >= min_words
+    enough = (sums[ends] - sums[firsts] >= min_words) & (number[firsts] == number[ends - 1])
     firsts, ends = firsts[enough], ends[enough]
     if every_length:
         after = np.maximum(np.searchsorted(sums, sums[:-1] + min_words), np.arange(1, n + 1))
         before = np.minimum(np.searchsorted(sums, sums[1:] - min_words, side="right") - 1, np.arange(n))
-        on, back = np.flatnonzero(after <= n), np.flatnonzero(before >= 0)
+        on, back = np.flatnonzero(after <= cut.places[1:][number]), np.flatnonzero(before >= cut.places[:-1][number])
         firsts, ends = np.concatenate([firsts, on, before[back]]), np.concatenate([ends, after[on], back + 1])
-        both = np.unique(firsts * (n + 1) + ends)
-        firsts, ends = both // (n + 1), both % (n + 1)
-    return firsts, ends
-
-
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64) for _ in range(4)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    """Powers of both bases and of their inverses, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((*_BASES, *(pow(base, -1, 1 << 64) for base in _BASES))):
-            _powers[i] = np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64).cumprod(dtype=np.uint64)])
-    return _powers
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    both = np.sort(firsts * (n + 1) + ends)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return both // (n + 1), both % (n + 1)
 
 
-def run_hashes(text: str, span: int, min_words: int, every_length: bool = False) -> tuple[np.ndarray, ...]:
-    """Places, units, 64-bit hashes and 32-bit checks of the runs that have enough words.
+def run_hashes(texts: list[str | None], span: int, min_words: int, every_length: bool = False) -> tuple[np.ndarray, ...]:
+    """Text, first unit there, units, 64-bit hash and 32-bit check of each run that has enough words.
 
-    A run's hash is a sum of its units' digests under powers of an odd base,
-    so that all runs of a text come from one running sum.
+    A run's hash is a sum of its words' hashes under powers of an odd base, so
+    that all runs come from one running sum.
     """
-    own, owners = units(text, every_length)
-    firsts, ends = run_places(np.array([len(w) for _, _, w in own], np.int64), np.array(owners, np.int64), span, min_words, every_length)
-    digests = b"".join(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, w in own)
-    pair = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-    powers = _grown(len(own) + 1)
+    cut = Cut(texts, every_length)
+    firsts, ends = run_places(cut, span, min_words, every_length)
+    a, b, number = cut.first[firsts], cut.first[ends], np.searchsorted(cut.places, firsts, side="right") - 1
     out = []
-    for k in range(2):
-        sums = np.concatenate([np.zeros(1, np.uint64), (pair[:, k] * powers[k][: len(own)]).cumsum(dtype=np.uint64)])
-        out.append(_mixed((sums[ends] - sums[firsts]) * powers[2 + k][firsts] + (ends - firsts).astype(np.uint64)))
-    return firsts, ends - firsts, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    for base, words in zip((_P, _Q), cut.hashes, strict=True):
+        n = len(words)
+        words[cut.first[1:] - 1] ^= _P  # equal runs are cut into equal units
+        sums = np.concatenate([np.zeros(1, np.uint64), (words * _grown(int(base), n + 1)[:n]).cumsum(dtype=np.uint64)])
+        out.append(_mixed((sums[b] - sums[a]) * _grown(pow(int(base), -1, 1 << 64), n + 1)[a] + (b - a).astype(np.uint64)))
+    check = (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return number, (firsts - cut.places[number]).astype(np.int32), (ends - firsts).astype(np.int32), out[0].view(np.int64), check
 
 
 def runs(keyed: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
     """Every run of (row_key, row_check, doc_id, text); ``at`` is its first unit, ``size`` its number of units."""
-    kinds = {"at": pa.int32(), "size": pa.int32(), "hash": pa.int64(), "check": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces_of(batch, "text"):
-                found = [run_hashes(t, span, min_words, every_length) if t else _NONE for t in texts_of(piece)]
-                rows = pa.array(np.arange(len(found)).repeat([len(f[0]) for f in found]))
+            for piece in pieces_of(batch, "text", CHARS):
+                number, *found = run_hashes(texts_of(piece), span, min_words, every_length)
+                rows = pa.array(number)
                 columns = {name: piece.column(name).take(rows) for name in (*ROW, "doc_id")}
-                columns |= {name: pa.array(np.concatenate([f[i] for f in found]), kind) for i, (name, kind) in enumerate(kinds.items())}
+                columns |= {name: pa.array(values) for name, values in zip(("at", "size", "hash", "check"), found, strict=True)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return keyed.mapInArrow(run, RUNS)
@@ -202,23 +252,32 @@ def dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_l
     joined = keyed.join(starts.hint("shuffle_hash"), list(ROW), "left").select(*names, "starts")
 
     def make(piece: pa.RecordBatch) -> dict:
+        given = texts_of(piece)
+        cut = Cut(given, every_length)
         texts, counts, gone, cuts = [], [], [], []
-        for text, at in zip(texts_of(piece), piece.column("starts").to_pylist(), strict=True):
-            own, owners = units(text, every_length) if text else ([], [])
-            dead = {i for r in at for i in range(r["at"], min(r["at"] + r["size"], len(own)))} if at else set()
-            stretches: list[dict[str, int]] = []
-            for i in sorted(dead):
-                if stretches and stretches[-1]["end"] == own[i][0]:
-                    stretches[-1]["end"] = own[i][1]
-                else:
-                    stretches.append({"start": own[i][0], "end": own[i][1]})
-            texts.append(text if not dead else "".join(text[a:b] for i, (a, b, _) in enumerate(own) if i not in dead))
-            counts.append(owners[-1] + 1 if owners else 0)
-            gone.append(len({owners[i] for i in dead}))
-            cuts.append(stretches)
+        for number, (text, at) in enumerate(zip(given, piece.column("starts").to_pylist(), strict=True)):
+            own = cut.own(number)
+            n = len(own)
+            counts.append(int(own[-1]) + 1 if n else 0)
+            dead = np.zeros(n + 1, bool)
+            for r in at or ():
+                dead[r["at"] : min(r["at"] + r["size"], n)] = True
+            if not dead.any():
+                texts.append(text)
+                gone.append(0)
+                cuts.append([])
+                continue
+            edges = cut.edges(number)[np.flatnonzero(np.diff(dead, prepend=False))].tolist()
+            stretches, left, upto = list(zip(edges[::2], edges[1::2], strict=True)), [], 0
+            for a, b in stretches:
+                left.append(text[upto:a])
+                upto = b
+            texts.append("".join([*left, text[upto:]]))
+            gone.append(len(np.unique(own[dead[:n]])))
+            cuts.append([{"start": a, "end": b} for a, b in stretches])
         return {"text": texts, "n_sentences": counts, "n_removed": gone, "removed": cuts}
 
-    return extended(joined, {"text": "string", "n_sentences": "long", "n_removed": "long", "removed": _SPANS}, make, drop=("starts",))
+    return extended(joined, {"text": "string", "n_sentences": "long", "n_removed": "long", "removed": _SPANS}, make, drop=("starts",), chars=CHARS)
 
 
 def dedup_documents(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, every_length: bool = True) -> DataFrame:

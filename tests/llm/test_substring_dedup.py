@@ -1,3 +1,5 @@
+import random
+import re
 from collections import defaultdict
 
 from assaylake.llm import substring_dedup as sd
@@ -117,3 +119,44 @@ def test_passages_that_two_sentences_miss(spark):
     left = got[4].text.split()
     assert left[:2] == ["Starts", "as"] and left[-2:] == ["ends", "so."] and len(left) < 4 + 2 * sd.LONG and got[4].n_removed == 1
     assert {r.doc_id for r in sd.dedup_documents(docs).collect()} == {0, 2, 3, 4, 5, 6}
+
+
+def test_sentences_follow_the_definition():
+    """A sentence ends after a newline, or after an end mark before white space."""
+    rng, signs = random.Random(3), ["a", "Bé", "ÄÖ", ".", "!", "?", " ", "\n", "\t", "\u2003", "İ", "x1", "日本", "\x1c", "\x85"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(50)))
+        want, at = [], 0
+        for m in re.finditer(r"[.!?]\s+|\n\s*", text):
+            if text[at : m.end()].split():
+                want.append((at, m.end()))
+                at = m.end()
+        if text[at:].split():
+            want.append((at, len(text)))
+        elif want:
+            want[-1] = (want[-1][0], len(text))
+        assert [(a, b) for a, b, _ in sd.sentences(text)] == want
+
+
+def test_equal_runs_have_equal_hashes():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(6)]
+    seen = {}
+    for _ in range(300):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", ".", "\n"]) for _ in range(rng.randrange(1, 60)))
+        own, _ = sd.pieces(text)
+        _, at, size, h, check = sd.run_hashes([text], 2, 3, True)
+        for i, n, key in zip(at.tolist(), size.tolist(), zip(h.tolist(), check.tolist(), strict=True), strict=True):
+            run = tuple(tuple(w) for _, _, w in own[i : i + n])
+            assert seen.setdefault(key, run) == run
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_texts_cut_together_are_cut_alike():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["ab ", "c. ", "d\n", " ", "e", "."]) for _ in range(rng.randrange(80))) for _ in range(50)] + [None, "", " \n"]
+    rng.shuffle(texts)
+    number, *together = sd.run_hashes(texts, 2, 3, True)
+    for i, text in enumerate(texts):
+        _, *alone = sd.run_hashes([text], 2, 3, True)
+        assert [x[number == i].tolist() for x in together] == [x.tolist() for x in alone]
