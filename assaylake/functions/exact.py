@@ -25,6 +25,9 @@ UNITS = {
 }
 CANONICAL_UNIT = {"water": "ug/L", "soil": "mg/kg"}
 
+#: Months in order (fixed values).
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
 #: Matrices by the words that files use (fixed values).
 MATRICES = {"s": "soil", "soil": "soil", "w": "water", "water": "water", "groundwater": "water"}
 

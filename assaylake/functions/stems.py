@@ -1,7 +1,7 @@
 """Porter's stemmer (1980) and positional phrases.
 
-Stems are found once for each distinct word, by an Arrow UDF over the
-vocabulary; occurrences get theirs by a join.
+Arrow UDFs stem single words or whole arrays; a worker stems each distinct word
+once and keeps its stem.
 """
 
 from __future__ import annotations
@@ -97,3 +97,26 @@ def stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Null stays null."""
     for batch in words:
         yield batch.map(lambda w: porter(w) if isinstance(w, str) else None)
+
+
+#: Stems that one worker keeps; the store is emptied when it is full.
+KEPT = 500_000
+
+_known: dict[str, str] = {}
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_all(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The stems of an array of words, in their order; null stays null."""
+
+    def one(held) -> list[str] | None:
+        if held is None:
+            return None
+        if len(_known) > KEPT:
+            _known.clear()
+        for w in set(held) - _known.keys():
+            _known[w] = porter(w)
+        return [_known[w] for w in held]
+
+    for batch in words:
+        yield batch.map(one)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.session import listed
+
 #: Ranks that count as hits (fixed values).
 FIRST, TOP, LIVE = 1, 5, 8
 
@@ -64,7 +66,7 @@ def compare_passes(values: DataFrame, passes: DataFrame) -> DataFrame:
     against it: it confirms only if each does.
     """
     names = passes.select("pass").distinct()
-    wanted = values.join(F.broadcast(names))  # the passes, a few names
+    wanted = values.select("*", F.explode(listed(names)).alias("p")).select(*values.columns, "p.pass")
     judged = passes.groupBy("pass", "key").agg(F.min(F.when(F.col("verdict") == CONFIRMED, 1).otherwise(0)).alias("ok"), F.min("verdict").alias("verdict"), F.collect_set("reading").alias("readings"))
     joined = wanted.join(judged, ["pass", "key"], "left")
     same = (F.size("readings") == 1) & (F.element_at(F.when(F.size("readings") > 0, F.col("readings")), 1) == F.col("value"))
@@ -93,6 +95,6 @@ def test_areas(cases: DataFrame, areas: DataFrame) -> DataFrame:
     """
     module = F.element_at(F.split("classname", r"\."), -1)
     failed = F.coalesce("failed", F.lit(False)) | F.coalesce("errored", F.lit(False)) | F.coalesce(F.col("skipped_type") == "pytest.xfail", F.lit(False))
-    known = cases.withColumn("module", module).join(F.broadcast(areas), "module", "left")  # a line for each test module
+    known = cases.withColumn("module", module).join(areas, "module", "left")  # a line for each test module
     skipped = ~failed & F.col("skipped_type").isNotNull()
     return known.groupBy(F.coalesce("area", F.lit("other")).alias("area")).agg(F.count_if(~failed & ~skipped).alias("n_passed"), F.count_if(failed).alias("n_failed"), F.count_if(skipped).alias("n_skipped"))

@@ -59,7 +59,7 @@ def resolve(found: DataFrame, results: DataFrame, limits: DataFrame) -> DataFram
     limit_rows = limits.select("rule", F.lower("key").alias("key"), F.col("value").alias("limit"))
     by_limit = (
         found.where("head = 'limit' and shaped")
-        .join(F.broadcast(limit_rows), (F.lower(F.array_join(_members(F.col("f")[0]), "+")) == F.col("key")) & (F.lower(F.col("f")[1]) == F.lower("rule")), "left")  # the guideline documents, a few dozen rows
+        .join(limit_rows, (F.lower(F.array_join(_members(F.col("f")[0]), "+")) == F.col("key")) & (F.lower(F.col("f")[1]) == F.lower("rule")), "left")  # the guideline documents, a few dozen rows
         .select("text_id", "pos", F.concat(exact.shown(F.col("limit")), F.lit(UNIT)).alias("fill"), F.when(F.col("limit").isNull(), "the rule has no value of that key").alias("problem"))
     )
     asked = found.where("head <> 'limit' and shaped").select("text_id", "pos", "head", F.col("well").cast("string").alias("well"), "f", _members(F.col("f")[0]).alias("names"), F.posexplode(F.when(F.col("head") == "change", F.slice("f", 3, 2)).otherwise(F.slice("f", 3, 1))).alias("side", "when"))

@@ -1,36 +1,42 @@
 """Phrases of stemmed words: where they stand, and their BM25 weight as terms of their own.
 
 ``rows``: rowid, text. ``phrases``: phrase_id, text. Repeated words of a
-phrase keep their places; a phrase without a word is nowhere.
+phrase keep their places; a phrase without a word is nowhere. Words are stemmed
+where they stand, so rows meet phrases by one hash of a whole run of stems and
+no word of a row is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.functions.stems import stem
+from assaylake.functions.stems import stem_all
 from assaylake.operators.retrieval import B, K1, bm25_idf, tokens
 
 
-def occurrences(rows: DataFrame, key: str) -> DataFrame:
-    """(key, pos, stem): each distinct word is stemmed once, then joined back."""
-    placed = rows.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
-    stems = placed.select("word").distinct().withColumn("stem", stem("word"))
-    return placed.join(stems, "word").select(key, "pos", "stem")
+def _runs(stems: Column, size: int) -> Column:
+    """Every run of ``size`` neighbouring stems: size and two hashes."""
+    run = lambda i: F.slice(stems, i, size)
+    hashed = F.transform(F.sequence(F.lit(1), F.size(stems) - size + 1), lambda i: F.struct(F.lit(size).alias("size"), F.xxhash64(run(i)).alias("h"), F.hash(run(i)).alias("check")))
+    return F.when(F.size(stems) >= size, hashed)
 
 
 def phrase_hits(phrases: DataFrame, rows: DataFrame) -> DataFrame:
     """(phrase_id, rowid, n): how often the stems of a phrase follow each other in a row.
 
-    A word of the phrase at place i and of the row at place p speak for a start
-    at p - i; a start with all words of the phrase is a hit.
+    Runs of each length that a phrase has meet the phrases by their hashes of
+    96 bits; only such lengths are built.
     """
-    wanted = occurrences(phrases, "phrase_id").withColumnsRenamed({"pos": "i"})
-    lengths = wanted.groupBy("phrase_id").agg(F.count("*").alias("size"))
-    starts = occurrences(rows, "rowid").join(wanted, "stem").groupBy("phrase_id", "rowid", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("held"))
-    whole = starts.join(lengths, "phrase_id").where(F.col("held") == F.col("size"))
-    return whole.groupBy("phrase_id", "rowid").agg(F.count("*").alias("n"))
+    wanted = phrases.select("phrase_id", stem_all(tokens(F.col("text"))).alias("stems")).where("size(stems) > 0")
+    wanted = wanted.select("phrase_id", F.size("stems").alias("size"), F.xxhash64("stems").alias("h"), F.hash("stems").alias("check"))
+    sizes = [r[0] for r in wanted.select("size").distinct().orderBy("size").collect()]  # lengths of phrases, a handful
+    if not sizes:
+        return rows.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "rowid", F.lit(0).cast("long").alias("n")).limit(0)
+    held = rows.select("rowid", stem_all(tokens(F.col("text"))).alias("stems"))
+    runs = F.flatten(F.array_compact(F.array(*(_runs(F.col("stems"), k) for k in sizes))))
+    placed = held.select("rowid", F.explode(runs).alias("x")).select("rowid", "x.*")
+    return placed.join(wanted, ["h", "check", "size"]).groupBy("phrase_id", "rowid").agg(F.count("*").alias("n"))
 
 
 def phrase_scores(phrases: DataFrame, rows: DataFrame) -> DataFrame:
@@ -39,6 +45,6 @@ def phrase_scores(phrases: DataFrame, rows: DataFrame) -> DataFrame:
     lengths = rows.select("rowid", F.size(tokens(F.col("text"))).alias("length"))
     sizes = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     frequency = hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
-    joined = hits.join(frequency, "phrase_id").join(lengths, "rowid").join(F.broadcast(sizes))  # one row
+    joined = hits.join(frequency, "phrase_id").join(lengths, "rowid").join(sizes)  # one row
     part = bm25_idf(F.col("total"), F.col("df")) * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return joined.select("phrase_id", "rowid", "n", part.alias("score"))

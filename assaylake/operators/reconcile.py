@@ -125,7 +125,7 @@ def unit_outliers(lab: DataFrame) -> DataFrame:
     """Results in another unit than the majority of their matrix, by sample."""
     most = majority_units(lab).select("matrix", F.col("unit_key").alias("majority"))
     return (
-        lab.join(F.broadcast(most), "matrix")  # one row for each matrix
+        lab.join(most, "matrix")  # one row for each matrix
         .where("unit_key <> majority")
         .groupBy("sample_id", "matrix", "majority")
         .agg(F.count("*").alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("unit_key").alias("unit_key"))
@@ -178,7 +178,7 @@ def holding(lab: DataFrame, rules: DataFrame) -> DataFrame:
     the calendar; extraction before sampling is an error in one of the dates.
     """
     first = rules.groupBy("matrix", "analyte").agg(F.min_by(F.struct("days", "months"), "ordinal").alias("r")).select("matrix", "analyte", "r.*")
-    joined = lab.join(F.broadcast(first.withColumn("has_rule", F.lit(True))), ["matrix", "analyte"], "left")  # a few dozen rules
+    joined = lab.join(first.withColumn("has_rule", F.lit(True)), ["matrix", "analyte"], "left")  # a few dozen rules
     sampled = F.col("sampled.d")
     deadline = F.when(F.col("days").isNotNull(), F.date_add(sampled, F.col("days"))).otherwise(F.add_months(sampled, F.col("months")))
     held = F.datediff("extracted", sampled)

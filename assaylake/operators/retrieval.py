@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.session import cut
+
 #: Constants of passages and ranking (fixed values).
 TARGET, OVERLAP, LONGEST = 220, 60, 300
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -38,13 +40,27 @@ def passages(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "ordinal", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.array_join(F.slice("words", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), " ").alias("text"))
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(term, rowid, tf, length) from rows (rowid, text)."""
+def postings(rows: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, rowid, tf, length) from rows (rowid, text), of all terms or of those in ``terms`` only.
+
+    Terms that are not asked for are dropped before anything is exchanged where
+    the planner finds ``terms`` small.
+    """
     held = rows.select("rowid", tokens(F.col("text")).alias("t"))
     exploded = held.select("rowid", F.size("t").alias("length"), F.explode("t").alias("term"))
+    if terms is not None:
+        exploded = exploded.join(terms, "term", "left_semi")
     return exploded.groupBy("term", "rowid").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(term, n, n_docs): uses of each word and rows that hold it, both summed before they are exchanged."""
+    held = rows.select(tokens(F.col("text")).alias("t"))
+    uses = held.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    in_rows = held.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+    return uses.join(in_rows, "term")
+
+
 def bm25_idf(total: Column, frequency: Column) -> Column:
     return F.greatest(F.ln((total - frequency + 0.5) / (frequency + 0.5)), F.lit(IDF_FLOOR))
 
@@ -60,11 +76,11 @@ def rank(questions: DataFrame, rows: DataFrame, candidates: int = CANDIDATES) ->
     their concept weights, rounded half to even at two places before use; terms
     that no row holds count in n_terms only.
     """
-    index = postings(rows)
+    asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    index = cut(postings(rows, asked.select("term").distinct()), "postings")
     sizes = rows.select(F.size(tokens(F.col("text"))).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    weighed = asked.join(frequency, "term", "left").join(F.broadcast(sizes))  # one row
+    weighed = asked.join(frequency, "term", "left").join(sizes)  # one row
     per_question = weighed.groupBy("qid").agg(
         F.count("*").alias("n_terms"), F.count("df").alias("n_known"), F.sum(concept_idf(F.col("total"), F.col("df"))).alias("weight_sum")
     )
@@ -73,8 +89,8 @@ def rank(questions: DataFrame, rows: DataFrame, candidates: int = CANDIDATES) ->
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hit.groupBy("qid", "rowid").agg(F.sum(part).alias("score"), F.count("*").alias("n_matched"), F.sum("weight").alias("held"))
     best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "rowid")
-    cut = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates)
-    joined = cut.join(per_question, "qid")
+    first = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates)
+    joined = first.join(per_question, "qid")
     return joined.select("qid", "rowid", "score", "place", "n_matched", "n_terms", "n_known", F.bround(F.col("held") / F.col("weight_sum"), 2).alias("coverage"))
 
 
@@ -114,19 +130,19 @@ def boilerplate(pages: DataFrame, edge: int = 3, share: float = 0.3, least_pages
 def copied_runs(texts: DataFrame, sources: DataFrame, longest_allowed: int = 10, within: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, n_runs, longest): runs of more than ``longest_allowed`` words that a text shares with a source.
 
-    Word runs meet by hash and are compared in full; matched places on one
-    diagonal that follow each other are one run of maximal length. ``within``
+    Word runs meet by two hashes, of 96 bits together, so no words are
+    exchanged; matched places on one diagonal that follow each other are one run of maximal length. ``within``
     names columns of both sides that must be equal.
     """
     size = longest_allowed + 1
 
     def grams(rows: DataFrame, key: str, place: str) -> DataFrame:
         held = rows.select(key, *within, tokens(F.col("text")).alias("t")).where(F.size("t") >= size)
-        parts = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.array_join(F.slice("t", i, size), " "))
-        return held.select(key, *within, F.posexplode(parts).alias(place, "gram")).withColumn("h", F.xxhash64("gram"))
+        parts = F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.struct(F.xxhash64(F.slice("t", i, size)).alias("h"), F.hash(F.slice("t", i, size)).alias("check")))
+        return held.select(key, *within, F.posexplode(parts).alias(place, "gram")).select(key, *within, place, "gram.*")
 
     a, b = grams(texts, "doc_id", "i"), grams(sources, "item_id", "k")
-    hit = a.join(b, ["h", "gram", *within]).select("doc_id", "item_id", "i", (F.col("i") - F.col("k")).alias("diagonal"))
+    hit = a.join(b, ["h", "check", *within]).select("doc_id", "item_id", "i", (F.col("i") - F.col("k")).alias("diagonal"))
     line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("i")
     islands = hit.withColumn("island", F.col("i") - F.row_number().over(line))
     runs = islands.groupBy("doc_id", "item_id", "diagonal", "island").agg((F.count("*") + longest_allowed).alias("length"))

@@ -2,8 +2,8 @@
 
 ``results`` is a long table (well, date, analyte, value, lor, file, row) with a
 null value for a non-detect. ``limits`` is a small dimension (rule, ordinal,
-key, applies_to, members, value) of the guideline documents; it has a few dozen
-rows, whatever the size of the results, and is the side that is broadcast.
+key, applies_to, members, value) of the guideline documents; its rows become
+literals of the plan, and more than ``session.MOST_LISTED`` of them are an error.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions import exact
+from assaylake.session import listed
 
 SUM_LOW = "decimal(28,9)"
 
@@ -43,7 +44,7 @@ def screen_rounds(results: DataFrame, limits: DataFrame) -> DataFrame:
     rounds = results.groupBy("well", "date").agg(
         F.map_from_entries(F.collect_list(F.struct("analyte", F.struct(F.coalesce("value", F.lit(0).cast(exact.AMOUNT)).alias("low"), F.coalesce("value", "lor").alias("high"))))).alias("found")
     )
-    paired = rounds.join(F.broadcast(screens(limits)))
+    paired = rounds.select("*", F.explode(listed(screens(limits))).alias("s")).select("well", "date", "found", "s.*")
 
     def total(side: str) -> Column:
         return F.aggregate("members", F.lit(0).cast(SUM_LOW), lambda acc, m: (acc + F.col("found")[m][side]).cast(SUM_LOW))
@@ -115,7 +116,7 @@ def criteria_comparisons(lab: DataFrame, criteria: DataFrame) -> DataFrame:
     """
     parts = criteria.select("id", "matrix", "value", F.size("members").alias("n_members"), F.explode("members").alias("analyte"), "each_member_too")
     bounds = lab.select("sample_id", "matrix", "analyte", F.coalesce("value", F.lit(0).cast(exact.AMOUNT)).alias("low"), F.coalesce("value", "lor").alias("high"), F.col("value").isNull().alias("open"))
-    joined = bounds.join(F.broadcast(parts.withColumnRenamed("value", "limit")), ["matrix", "analyte"])
+    joined = bounds.join(parts.withColumnRenamed("value", "limit"), ["matrix", "analyte"])
     whole = joined.groupBy("id", "sample_id", "limit", "n_members").agg(
         F.count("*").alias("n"), F.sum("low").cast(SUM_LOW).alias("low"), F.sum("high").cast(SUM_LOW).alias("high"), F.count_if("open").alias("n_open")
     ).where("n = n_members").select("id", "sample_id", F.lit(None).cast("string").alias("alone"), "limit", "low", "high", "n_open")

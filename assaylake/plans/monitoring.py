@@ -118,16 +118,8 @@ def latest_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changes of two analytes, as its SQL has them; ``round_change_all`` has every analyte."""
-    return _changes(results(spark, sf_dir).where("analyte in ('click', 'view')"))
-
-
-def round_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changes(results(spark, sf_dir))
-
-
-def _changes(found: DataFrame) -> DataFrame:
-    pairs = screening.round_changes(found)
+    """Rises and falls between all rounds of each well and analyte."""
+    pairs = screening.round_changes(results(spark, sf_dir))
     return pairs.groupBy("well", "analyte").agg(
         F.count("*").alias("n_pairs"),
         F.count_if(F.col("direction") == "rise").alias("n_rises"),
@@ -136,6 +128,10 @@ def _changes(found: DataFrame) -> DataFrame:
     )
 
 
+#: Both names stay; either covers every analyte.
+round_change_all = round_change
+
+
 def kleene_all_by_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = results(spark, sf_dir)
     below = F.when(F.col("value").isNull(), F.lit(None)).otherwise(F.col("value") < 200)
@@ -196,13 +192,12 @@ def _compact_matches(lab: DataFrame, coc: DataFrame) -> DataFrame:
 
 
 def compact_id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that meet by their letters and digits, for every third customer as its SQL has it."""
-    lab, coc = _customer_ids(spark, sf_dir)
-    return _compact_matches(lab.where("c_custkey % 3 = 0"), coc)
+    """Names that meet by their letters and digits, for all customers."""
+    return _compact_matches(*_customer_ids(spark, sf_dir))
 
 
-def compact_id_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compact_matches(*_customer_ids(spark, sf_dir))
+#: Both names stay; either covers every customer.
+compact_id_match_all = compact_id_match
 
 
 def id_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +361,7 @@ with results as ({RESULTS})
 select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.value) as n_rises,
        max(cast(b.value - a.value as double)) as largest_rise, count(*) filter (abs(b.value - a.value) * 2 >= a.value) as n_half_or_more
 from results a join results b on a.well = b.well and a.analyte = b.analyte and a.date < b.date and a.value <> b.value
-where a.analyte in ('click', 'view') group by all""",
+group by all""",
     "round_change_all": f"""
 with results as ({RESULTS})
 select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.value) as n_rises,
@@ -410,7 +405,7 @@ union all select s, 'chain of custody', 'lab file' from coc where not hold and s
 union all select s, 'chain of custody', 'field sheet' from coc where s not in (select s from field)
 union all select s, 'field sheet', 'chain of custody' from field where s not in (select s from coc)""",
     "compact_id_match": """
-with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer where c_custkey % 3 = 0)
+with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer)
 select lab_id, regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') as compact, count(*) as n_candidates, min(c_name) as coc_id
 from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g')
 group by all""",

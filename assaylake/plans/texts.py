@@ -26,8 +26,7 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.postings(_docs(spark, sf_dir).withColumnRenamed("doc_id", "rowid"))
-    return index.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("n_docs"))
+    return retrieval.word_counts(_docs(spark, sf_dir))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

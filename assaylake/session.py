@@ -7,7 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _shipped: set[str] = set()
 
@@ -91,6 +93,22 @@ class Tables:
         self.paths.clear()
 
 
+#: Rows that a small dimension may have to become literals.
+MOST_LISTED = 1000
+
+
+def listed(rows: DataFrame, most: int = MOST_LISTED) -> Column:
+    """The rows of a small dimension as a literal array of structs, for ``explode``: a pairing with every row without a join.
+
+    More than ``most`` rows are an error, so what the plan carries is bounded.
+    """
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"a small dimension has more than {most} rows")
+    kind = T.ArrayType(rows.schema)
+    return F.array(*(F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(r, rows.schema.fields, strict=True))) for r in held)).cast(kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be one that only Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import io
 from decimal import Decimal
 
 import pytest
@@ -104,11 +106,37 @@ def test_bad_rows_name_file_and_row(spark, tmp_path, row, problem):
 
 
 @pytest.mark.parametrize(("text", "problem"), [("", "no header"), ("a,b\n1,2\n", "missing"), (f"{HEADER},matrix\nx\n", "repeated"), (f"{HEADER}\n\n", "no data rows")])
-def test_bad_files(text, problem):
-    ((_, _, _, cells, found),) = sf.parse("f.csv", text, sf.REQUIRED["lab"])
+def test_bad_files(spark, tmp_path, text, problem):
+    (tmp_path / "f.csv").write_text(text)
+    ((_, _, _, cells, found),) = sf.raw_cells(spark, str(tmp_path / "f.csv"), "lab").collect()
     assert cells is None and problem in found
 
 
+def test_records_follow_the_format(spark, tmp_path):
+    """Cells as the csv module reads them; a form feed or line separator in a cell ends no line, and rows stay physical."""
+    cells = [["a, b", 'say ""x""', "two\nlines", "\x0cfeed\u2028sep", "", "z"], ["1", "2", "", " 4 ", "5", "6"], ["q", "", "", "", "", ""]]
+    written = [",".join(f'"{c}"' if any(x in c for x in ',"\n') else c for c in row) for row in cells]
+    names = "coc_number,sample_id,sampled,matrix,analyses,hold,comments"
+    (tmp_path / "a b+c.csv").write_text("\ufeff# Project: one\n#Lab : two\n\n" + names + "\r\n" + "\n".join(f"{r},x" for r in written) + "\n,,,,,,\nlast,1,2\n", newline="")
+    got = sf.raw_cells(spark, str(tmp_path), "coc").orderBy("row").collect()
+    assert [r.row for r in got] == [5, 7, 8, 10] and {r.header_row for r in got} == {4} and got[0].file.endswith("/a b+c.csv")
+    want = list(csv.reader(io.StringIO("\n".join(written))))
+    assert [[r.cells[n] for n in names.split(",")[:6]] for r in got[:3]] == [[c.strip() for c in row] for row in want]
+    assert got[3].problem == "3 cells where the header has 7"
+    assert [(r.row, r.key, r.value) for r in sf.preamble(spark, str(tmp_path)).orderBy("row").collect()] == [(1, "Project", "one"), (2, "Lab", "two")]
+    (tmp_path / "open.csv").write_text(f'{names}\n1,2,3,4,5,6,"never\nends\n')
+    assert [(r.row, r.problem) for r in sf.raw_cells(spark, str(tmp_path / "open.csv"), "coc").collect()] == [(2, "a quote is not closed")]
+
+
+def test_sites_stay_apart(spark, tmp_path):
+    names = "sample_id,date,time,location,matrix,equipment,qa_type,parent_sample,notes"
+    for site, rows in (("one", ["S1,2025-09-12,,L,Soil,,primary,,", "D1,2025-09-12,,L,Soil,,field_duplicate,S2,"]), ("two", ["S1,2025-09-12,,L,Soil,,primary,,", "S2,2025-09-12,,L,Soil,,primary,,"])):
+        (tmp_path / site).mkdir()
+        (tmp_path / site / "field.csv").write_text("\n".join([names, *rows]))
+    typed = sf.field_rows(sf.raw_cells(spark, f"{tmp_path}/*/field.csv", "field"))
+    assert [(r.file.split("/")[-2], r.row, r.problem) for r in sf.violations(typed).collect()] == [("one", 3, "the parent sample is not on the field sheet")]
+
+
 def test_exact_expressions(spark):
     D = Decimal
     df = spark.createDataFrame([(D("180"), D("95")), (D("0.07"), D("0.07")), (D("100"), D("0"))], "a decimal(18,9), b decimal(18,9)")
