@@ -175,11 +175,29 @@ def _numbered(words: list[str], seen: dict[str, int]) -> list[int]:
     return [seen.setdefault(w, len(seen)) for w in words]
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers, _inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _any_repeat(ids: np.ndarray, size: int) -> bool:
+    """False only where no ``size`` neighbouring ids come twice: equal windows always have equal hashes."""
+    global _powers, _inverses
+    if len(_powers) <= len(ids):
+        _powers, _inverses = (
+            np.concatenate([np.ones(1, np.uint64), np.full(2 * len(ids), base, np.uint64).cumprod(dtype=np.uint64)]) for base in (_BASE, pow(_BASE, -1, 1 << 64))
+        )
+    sums = np.concatenate([np.zeros(1, np.uint64), ((ids.astype(np.uint64) + np.uint64(1)) * _powers[: len(ids)]).cumsum(dtype=np.uint64)])
+    windows = np.sort((sums[size:] - sums[:-size]) * _inverses[: len(sums) - size])
+    return bool((windows[1:] == windows[:-1]).any())
+
+
 def char_repeats(text: str, least: int = CHARS) -> tuple[int, int, float]:
     """Maximal repeats of ``least`` characters or more in a whole text: their number, the longest, the share covered."""
     if len(text) <= least:
         return 0, 0, 0.0
     ids = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not _any_repeat(ids, least):
+        return 0, 0, 0.0
     order, lcp = suffix_array(ids, least)
     found = intervals(ids, order, lcp, least)
     if not found:

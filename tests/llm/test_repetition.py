@@ -91,3 +91,12 @@ def test_method_rejects_what_the_base_passes(spark):
 def test_one_character_repeated():
     assert repetition.char_repeats("a" * 20000) == (19980, 19999, 1.0)
     assert repetition.char_repeats("") == repetition.char_repeats("short") == (0, 0, 0.0)
+
+
+def test_texts_without_a_repeated_window_skip_nothing():
+    rng = np.random.default_rng(4)
+    for size in (3, 5):
+        for _ in range(300):
+            ids = rng.integers(0, 3, rng.integers(size + 1, 30))
+            windows = [tuple(ids[i : i + size]) for i in range(len(ids) - size + 1)]
+            assert repetition._any_repeat(ids, size) == (len(set(windows)) < len(windows))
