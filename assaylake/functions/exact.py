@@ -121,15 +121,6 @@ def all_three_valued(test: Column) -> Column:
     return F.when(F.count_if(~test) > 0, False).when(F.count_if(test.isNull()) > 0, F.lit(None)).otherwise(True)
 
 
-def verdict(above: Column) -> Column:
-    """Aggregate over screens: ``above`` if any, ``not above`` if all are known not to be, else ``not confirmed``."""
-    return (
-        F.when(F.count_if(above) > 0, "above")
-        .when((F.count(F.lit(1)) > 0) & (F.count_if(above.isNull()) == 0), "not above")
-        .otherwise("not confirmed")
-    )
-
-
 def compact_id(sample: Column) -> Column:
     """Letters and digits of an identifier, in lower case."""
     return F.regexp_replace(F.lower(sample), "[^0-9a-z]", "")
@@ -148,3 +139,20 @@ def listed(items: Column) -> Column:
     """``a``, ``a and b``, ``a, b and c``."""
     n = F.size(items)
     return F.when(n <= 1, F.array_join(items, ", ")).otherwise(F.concat(F.array_join(F.slice(items, 1, n - 1), ", "), F.lit(" and "), F.element_at(items, -1)))
+
+
+def iso_stamp(at: Column) -> Column:
+    """``2025-09-12`` or, where the stamp has a time, ``2025-09-12 13:40``."""
+    day = F.date_format(at["d"], "yyyy-MM-dd")
+    return F.concat_ws(" ", day, F.when(at["minute"].isNotNull(), F.format_string("%02d:%02d", F.floor(at["minute"] / 60), at["minute"] % 60)))
+
+
+def long_date(day: Column) -> Column:
+    """``6 September 2025``."""
+    return F.date_format(day, "d MMMM yyyy")
+
+
+def first_words(text: Column, most: int) -> Column:
+    """A text cut after ``most`` words, its white space made single; an ellipsis marks the cut."""
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.concat(F.array_join(F.slice(words, 1, most), " "), F.when(F.size(words) > most, " ...").otherwise(""))

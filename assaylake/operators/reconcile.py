@@ -221,9 +221,29 @@ def unconfirmed_limits(comparisons: DataFrame, field: DataFrame) -> DataFrame:
     return comparisons.where("n_open > 0").join(blanks, "sample_id", "left_anti")
 
 
+#: Findings of one check whose draft orders lie in one block of this length are numbered by one task.
+BLOCK = 65_536
+
+
 def number_findings(findings: DataFrame) -> DataFrame:
-    """Global numbers by (check, order in check); findings are few, one row for each problem."""
-    return findings.withColumn("number", F.row_number().over(Window.orderBy("check_order", "draft_order")))
+    """Global numbers from 1 by (check_order, draft_order).
+
+    Findings are numbered within blocks of draft orders; a block starts after
+    the counts of all blocks before it, so only counts are ordered as a whole.
+    Draft orders are whole numbers, one for each finding of a check.
+    """
+    blocked = findings.withColumn("block", F.floor(F.col("draft_order") / BLOCK))
+    before = Window.orderBy("check_order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocked.groupBy("check_order", "block").agg(F.count("*").alias("n")).select("check_order", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("check_order", "block").orderBy("draft_order"))
+    return blocked.join(starts, ["check_order", "block"]).withColumn("number", F.col("start") + within).drop("block", "start")
+
+
+def longest_held(held: DataFrame) -> DataFrame:
+    """The result that waited longest over its time, for each matrix and analyte; the first row on ties."""
+    over = held.where("outcome = 'over'")
+    most = F.max_by(F.struct("sample_id", "row", "days_held", "deadline"), F.struct("days_held", -F.col("row")))
+    return over.groupBy("matrix", "analyte").agg(F.count("*").alias("n_over"), most.alias("m")).select("matrix", "analyte", "n_over", "m.*")
 
 
 def related(findings: DataFrame) -> DataFrame:

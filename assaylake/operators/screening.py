@@ -125,3 +125,34 @@ def criteria_comparisons(lab: DataFrame, criteria: DataFrame) -> DataFrame:
     both = whole.unionByName(alone)
     above = exact.above_bounds(F.col("low"), F.col("high"), F.col("limit"))
     return both.withColumn("status", F.when(above, "above").when(~above, "not above").otherwise("not confirmed"))
+
+
+def results_of(results: DataFrame, well, analyte: str | None = None) -> DataFrame:
+    """Results of one well in order of date and row, of one analyte in any case or of all.
+
+    An analyte or a well without results is an error that lists those there are.
+    """
+    for name, value, column in (("well", well, F.col("well")), ("analyte", analyte, F.lower("analyte"))):
+        if value is None:
+            continue
+        wanted = value.lower() if name == "analyte" else value
+        if results.where(column == wanted).limit(1).count() == 0:
+            known = [str(r[0]) for r in results.select(name).distinct().orderBy(name).limit(50).collect()]
+            raise ValueError(f"no {name} {value}; there are {', '.join(known)}")
+        results = results.where(column == wanted)
+    return results.orderBy("date", "row")
+
+
+def first_seen(results: DataFrame) -> DataFrame:
+    """(analyte, first_row): analytes in the order in which they first appear."""
+    return results.groupBy("analyte").agg(F.min("row").alias("first_row")).orderBy("first_row")
+
+
+def samples_in_order(results: DataFrame) -> DataFrame:
+    """(sample_id, rows): the result rows of each sample in file order; a sample has as many as it has analytes."""
+    return results.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("row", "analyte"))).alias("rows"))
+
+
+def detection_limits(results: DataFrame) -> DataFrame:
+    """(well, date, lor, analytes, rows): results of a round that share a detection limit."""
+    return results.groupBy("well", "date", "lor").agg(F.array_sort(F.collect_set("analyte")).alias("analytes"), F.array_sort(F.collect_list("row")).alias("rows"))

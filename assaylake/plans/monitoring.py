@@ -452,4 +452,10 @@ select b.s as blank, b.kind as blank_type, count(*) as n_linked, min(x.s) as fir
 from field b join field x on b.d = x.d and b.kind <> 'primary' and x.kind = 'primary'
 where case b.kind when 'rinsate_blank' then b.equipment = x.equipment when 'field_blank' then b.loc = x.loc else true end
 group by all""",
+    "id_suggestions": """
+with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer),
+fit as (
+  select lab_id, c_name as coc_id, count(*) over (partition by lab_id, l.c_nationkey) as n
+  from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g'))
+select lab_id, coc_id from fit where n = 1""",
 }

@@ -158,4 +158,7 @@ select count(*) as n_values, count(*) filter (ok) as n_confirmed, count(*) filte
 with c as (select case when event_type in ('click', 'view') then 'use' when event_type = 'purchase' then 'sales' else 'other' end as area,
                   coalesce(value > 150, false) or coalesce(event_type = 'error', false) as failed, coalesce(value < 5, false) as skipped from events)
 select area, count(*) filter (not failed and not skipped) as n_passed, count(*) filter (failed) as n_failed, count(*) filter (not failed and skipped) as n_skipped from c group by area""",
+    "request_status": f"""
+with decided as ({texts.SQL['rate_limit']})
+select allowed, "window", count(*) as n from decided group by allowed, "window" order by n""",
 }

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.plans import monitoring, reading, texts
+from assaylake.plans import monitoring, reading, reviews, site, texts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-_MODULES = (monitoring, texts, reading)
+_MODULES = (monitoring, texts, reading, site, reviews)
 
 
 def entry(spark: SparkSession) -> DataFrame:

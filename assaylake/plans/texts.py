@@ -199,4 +199,17 @@ select doc_id, cast(len(e) as bigint) as n, cast(len(list_distinct(list_transfor
 with j as (select lang, quality, toxic from documents join labels using (doc_id))
 select case when grouping(lang) = 1 then 'all' else lang end as grp, count(*) as n, cast(sum(quality) as bigint) as n_good, cast(sum(toxic) as bigint) as n_toxic, round(sum(quality) / count(*), 6) as good_rate
 from j group by rollup(lang)""",
+    "rate_limit": """
+with recursive asked as (
+  select cast(user_id as varchar) as key, ts, row_number() over (partition by user_id order by ts) as n from events where user_id is not null and ts is not null),
+step as (
+  select distinct key, cast(0 as bigint) as n, cast([] as timestamp[]) as hits, cast(null as timestamp) as ts, cast(null as boolean) as allowed, cast(null as varchar) as "window", cast(null as integer) as retry_after from asked
+  union all
+  select key, n, case when len(short) < 3 and len(live) < 8 then list_append(live, ts) else live end, ts, len(short) < 3 and len(live) < 8,
+         case when len(short) >= 3 then '6 hours' when len(live) >= 8 then '2 days' end,
+         cast(case when len(short) >= 3 then (epoch_us(short[1]) + 21600000000 - epoch_us(ts)) // 1000000 + 1 when len(live) >= 8 then (epoch_us(live[1]) + 172800000000 - epoch_us(ts)) // 1000000 + 1 end as integer)
+  from (
+    select a.key, a.n, a.ts, list_filter(s.hits, lambda h: epoch_us(h) > epoch_us(a.ts) - 21600000000) as short, list_filter(s.hits, lambda h: epoch_us(h) > epoch_us(a.ts) - 172800000000) as live
+    from step s join asked a on a.key = s.key and a.n = s.n + 1))
+select key, ts, allowed, "window", retry_after from step where n > 0""",
 }
