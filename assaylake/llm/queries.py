@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm import bpe, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, topk, url_filter
+from assaylake.llm import bpe, conversation_repair, embedding_dup, language_id, near_dup, packing, repetition, secrets, sharding, substring_dedup, topk, url_filter, whitening
 from assaylake.llm.common import documents, is_held_out, ship
 
 
@@ -61,6 +61,18 @@ def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(spark, sf_dir)
 
 
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.query(spark, sf_dir)
+
+
+def op12_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(spark, sf_dir)
+
+
+def op13_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.query(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -73,8 +85,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_histogram_sort": op8_histogram_sort,
         "op9_secret_scan": op9_secret_scan,
         "op10_temporal_url_filter": op10_temporal_url_filter,
+        "op11_viterbi_repair": op11_viterbi_repair,
+        "op12_compensated_whitening": op12_compensated_whitening,
+        "op13_int8_tiles": op13_int8_tiles,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_threshold_top_k": topk.SQL, "op10_temporal_url_filter": url_filter.SQL}
+    return {
+        "op7_threshold_top_k": topk.SQL,
+        "op10_temporal_url_filter": url_filter.SQL,
+        "op11_viterbi_repair": conversation_repair.SQL,
+        "op13_int8_tiles": embedding_dup.SQL,
+    }
