@@ -94,7 +94,7 @@ GOOD = "R,1,S1,2025-09-12,Soil,Lead,,5,mg/kg,1,mg/kg,2025-09-20"
         ("R,1,S1,2025-09-12,Soil,Lead,<,2,mg/kg,1,mg/kg,", "a result below the LOR is not equal to it"),
         ("R,1,S1,2025-09-12,Soil,Lead,,1e3,mg/kg,1,mg/kg,", "the result is not a plain number, or has more than 9 places"),
         ("R,1,S1,2025-09-12,Soil,Lead,,0.0000000001,mg/kg,1,mg/kg,", "the result is not a plain number, or has more than 9 places"),
-        ("R,1,S1,2025-09-12,Soil", "5 cells where the header has 12"),
+        ("R,1,S1,2025-09-12,Soil", "it holds 5 of the 12 cells of the header"),
         (GOOD, "the sample has two results for this analyte"),
     ],
 )
@@ -122,7 +122,7 @@ def test_records_follow_the_format(spark, tmp_path):
     assert [r.row for r in got] == [5, 7, 8, 10] and {r.header_row for r in got} == {4} and got[0].file.endswith("/a b+c.csv")
     want = list(csv.reader(io.StringIO("\n".join(written))))
     assert [[r.cells[n] for n in names.split(",")[:6]] for r in got[:3]] == [[c.strip() for c in row] for row in want]
-    assert got[3].problem == "3 cells where the header has 7"
+    assert got[3].problem == "it holds 3 of the 7 cells of the header"
     assert [(r.row, r.key, r.value) for r in sf.preamble(spark, str(tmp_path)).orderBy("row").collect()] == [(1, "Project", "one"), (2, "Lab", "two")]
     (tmp_path / "open.csv").write_text(f'{names}\n1,2,3,4,5,6,"never\nends\n')
     assert [(r.row, r.problem) for r in sf.raw_cells(spark, str(tmp_path / "open.csv"), "coc").collect()] == [(2, "a quote is not closed")]
@@ -153,3 +153,59 @@ def test_adaptive_places_never_hide_a_breach(spark):
     df = spark.createDataFrame([(D("1.6667"), D("1"))], "a decimal(18,9), b decimal(18,9)")
     row = df.select(exact.exceeds_rpd(F.col("a"), F.col("b"), 50).alias("over"), exact.rpd_shown(F.col("a"), F.col("b"), 50).alias("r")).first()
     assert row.over and D(row.r) > 50
+
+
+FIELD = "sample_id,date,time,location,matrix,equipment,qa_type,parent_sample,notes"
+
+
+def _records(spark, texts):
+    """(row, cells, open) of the records of each text, all read as files of one table."""
+    rows = [(f"{k}", i + 1, t) for k, text in enumerate(texts) for i, t in enumerate(text.split("\n"))]
+    lines = spark.createDataFrame(rows, "file string, row int, text string")
+    out = [[] for _ in texts]
+    for r in sf.records(lines).select("file", "row", "open", sf._cut(F.col("text")).alias("cells")).collect():
+        out[int(r.file)].append((r.row, r.cells, r.open))
+    return [sorted(x) for x in out]
+
+
+def test_a_quote_opens_only_at_the_start_of_a_cell(spark):
+    """Inch marks in notes are text: all four samples come back."""
+    notes = ['5" casing', "plain", '6" casing, reamed', 'hole of 2"']
+    text = FIELD + "".join(f"\nS{k},2025-09-12,,MW1,water,,primary,,{n.split(',')[0]}" for k, n in enumerate(notes))
+    got = _records(spark, [text])[0]
+    assert [c[0] for _, c, _ in got] == ["sample_id", "S0", "S1", "S2", "S3"] and got[1][1][-1] == '5" casing'
+    assert not any(o for _, _, o in got)
+
+
+def test_records_equal_the_csv_module(spark):
+    """Cells, first lines and open quotes of random lines."""
+    import random
+
+    rng = random.Random(11)
+    pieces = ['"', '""', ",", "a", " b", '"x"', '"y, z"', 'k"', "\n", "\n", '"q\nr"', "#"]
+    texts = ["h1,h2\n" + "".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(200)]
+    for text, got in zip(texts, _records(spark, texts), strict=True):
+        reader = csv.reader(io.StringIO(text, newline=""))
+        want, at = [], 1
+        for cells in reader:
+            want.append((at, [c.strip() for c in cells] or [""]))
+            at = reader.line_num + 1
+        if text.endswith("\n") and not got[-1][2]:
+            got = [g for g in got if g[0] != text.count("\n") + 1]
+        closed = [(r, c) for r, c, o in got if not o]
+        assert closed == want[: len(closed)], text
+        assert len(want) - len(closed) in (0, 1) and [r for r, _, o in got if o] == [r for r, _ in want[len(closed) :]], text
+
+
+def test_lines_of_files_in_blocks(spark, tmp_path):
+    """Lines keep their numbers where Spark cuts a file into blocks; empty files and odd names are listed."""
+    (tmp_path / "a b+c%.csv").write_bytes("\ufeffone\r\ntwo\rthree\n\nfive".encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "long.csv").write_text("".join(f"line {k}\n" for k in range(1, 3001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = {}
+    for r in sf.raw_lines(spark, str(tmp_path)).collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.row, r.text))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got["a b+c%.csv"]) == [(1, "one"), (2, "two"), (3, "three"), (4, ""), (5, "five")]
+    assert got["empty.csv"] == [(1, "")] and sorted(got["long.csv"]) == [(k, f"line {k}") for k in range(1, 3001)]
