@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import extended, pieces_of, ship, texts_of
+from assaylake.llm.common import Tables, extended, pieces_of, ship, texts_of
 
 #: Buckets of hashed 1-, 2- and 3-grams.
 BUCKETS = 4096
 
-#: Bound on the labelled rows of one language that training reads.
-ROWS_PER_LANGUAGE = 400
+#: Different labelled texts of one language that training reads, and most languages that it learns.
+ROWS_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
 
 #: Codes of up to this many languages hold every distinct column.
 EXHAUSTIVE = 5
@@ -154,20 +154,22 @@ def fit(rows: np.ndarray, labels: list[str], rounds: int = 120, rate: float = 40
 def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on a bounded sample of the labelled rows for which ``usable`` holds.
 
-    The sample takes about ``rows_per_language`` rows of each language, chosen
-    by a hash of the text, so it is the same for any partitioning. Copies of a
-    text count once: they are dropped, and the rows of a language limited to
-    twice that number, before anything reaches the driver. Only n-gram
-    histograms do: languages x rows x 8 KB at most. None without a usable row.
+    The sample takes ``rows_per_language`` different texts of each language,
+    those of the least hashes, so it is the same for any partitioning and
+    copies of a text count once, however many there are: a language keeps its
+    texts beside one that is copied without end. Languages beyond
+    MOST_LANGUAGES, by their number of different texts, ties alphabetically,
+    are taken for dirty labels and not learned. Only n-gram histograms reach the
+    driver: languages x rows x 8 KB at most. None without a usable row.
     """
     ship(docs.sparkSession)
     labelled = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    place = F.pmod(F.xxhash64(text, F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = labelled.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text, F.lit(11)).alias("place"))
+    texts = labelled.groupBy("lang", "place").agg(F.lit(1).alias("one"))
+    common = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = texts.join(common, "lang", "left_semi").withColumn("nth", least).where(F.col("nth") <= rows_per_language).select("lang", "place")
+    tables = Tables(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +177,12 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
                 out = [(language, h.astype(np.float16).tobytes()) for language, t in zip(texts_of(piece, "lang"), texts_of(piece), strict=True) if (h := histogram(t)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["lang", "h"])
 
-    found = sample.mapInArrow(run, "lang string, h binary").dropDuplicates()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
-    got = sorted((r["lang"], bytes(r["h"])) for r in found.withColumn("nth", nth).where(F.col("nth") <= 2 * rows_per_language).collect())
+    try:
+        sample = labelled.join(tables.cut(chosen, "chosen-texts"), ["lang", "place"], "left_semi").dropDuplicates(["lang", "place"])
+        found = sample.select("lang", "text").mapInArrow(run, "lang string, h binary").dropDuplicates()
+        got = sorted((r["lang"], bytes(r["h"])) for r in found.collect())
+    finally:
+        tables.clear()
     if not got:
         return None
     return fit(np.stack([np.frombuffer(h, np.float16).astype(np.float32) for _, h in got]), [language for language, _ in got])

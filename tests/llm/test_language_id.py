@@ -32,6 +32,25 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.truth == r.lang_pred for r in found]) > 0.95
 
 
+def test_a_copied_text_costs_no_language(spark):
+    """400,000 copies of one French text beside the table: every language is still learned, and known."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.where("lang = 'fr' and length(text) > 200").orderBy("doc_id").first()
+    copies = spark.range(10**6, 10**6 + 400_000).select(F.col("id").alias("doc_id"), F.lit(one["text"]).alias("text"), F.lit("fr").alias("lang"))
+    model = language_id.train(docs.unionByName(copies), ~is_held_out(F.col("doc_id")))
+    assert model.languages == sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    found = language_id.predict(docs.where(is_held_out(F.col("doc_id"))).select("text", "lang"), model)
+    for r in found.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).where("lang is not null").collect():
+        assert r["right"] > 0.95, r
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(lang, f"{word} {k}") for lang, word in (("a", "alpha"), ("b", "beta")) for k in range(5)] + [(f"x{k}", "rare") for k in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert model.languages == ["a", "b"]
+
+
 def test_odd_rows(odd_docs, no_docs):
     model = language_id.train(odd_docs, F.lit(True))
     rows = language_id.predict(odd_docs, model).collect()
