@@ -226,16 +226,23 @@ def joined(parts: list[dict]) -> tuple[int, str, int]:
 
 
 def audits(rows: DataFrame) -> DataFrame:
-    """(conv_id, cost, audit, illegal) of every conversation of ``turns``."""
+    """(conv_id, cost, audit, illegal) of every conversation of ``turns``.
+
+    A conversation has few segments (four rows in each partition that it
+    reaches), which meet in one row.
+    """
     parts = segments(rows)
     kind = placed_type(rows, "conv_id")
+    held = parts.groupBy("conv_id").agg(F.collect_list(F.struct(*(c for c in parts.columns if c != "conv_id"))).alias("parts"))
 
-    def run(held: pa.Table) -> pa.Table:
-        cost, audit, illegal = joined(held.to_pylist())
-        return pa.table({"conv_id": pa.array([held.column("conv_id")[0].as_py()], kind), "cost": [cost], "audit": [audit], "illegal": [illegal]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [joined(p) for p in batch.column("parts").to_pylist()]
+            columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)] if found else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id").cast(kind), *columns], names=["conv_id", "cost", "audit", "illegal"])
 
     id_kind = rows.schema["conv_id"].dataType.simpleString()
-    return parts.groupBy("conv_id").applyInArrow(run, f"conv_id {id_kind}, cost bigint, audit string, illegal bigint")
+    return held.mapInArrow(run, f"conv_id {id_kind}, cost bigint, audit string, illegal bigint")
 
 
 def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
