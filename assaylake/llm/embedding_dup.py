@@ -35,7 +35,7 @@ from assaylake.llm.near_dup import components
 COSINE = 0.95
 
 #: Classes of a tile, on average, in small and in large tables; most pivots; rows that are quantised together.
-TILE, MOST_TILE, PIVOTS, ROWS = 2048, 16_384, 256, 4096
+TILE, MOST_TILE, PIVOTS, ROWS = 4096, 16_384, 256, 4096
 
 #: What names a pair of tiles.
 PAIR = ("width", "a", "b", "i", "j")
