@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.plans import guidance, monitoring, reading, reviews, site, texts
+from assaylake.plans import books, guidance, monitoring, reading, reviews, site, texts
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-_MODULES = (monitoring, texts, reading, guidance, site, reviews)
+_MODULES = (monitoring, texts, reading, books, guidance, site, reviews)
 
 
 def entry(spark: SparkSession) -> DataFrame:
