@@ -98,3 +98,62 @@ def test_areas(cases: DataFrame, areas: DataFrame) -> DataFrame:
     known = cases.withColumn("module", module).join(areas, "module", "left")  # a line for each test module
     skipped = ~failed & F.col("skipped_type").isNotNull()
     return known.groupBy(F.coalesce("area", F.lit("other")).alias("area")).agg(F.count_if(~failed & ~skipped).alias("n_passed"), F.count_if(failed).alias("n_failed"), F.count_if(skipped).alias("n_skipped"))
+
+
+NOT_CHECKED, MISMATCH = "not checked", "mismatch"
+
+
+def split_verdict(verdict: Column, value_confirmed: Column, reason: Column, note_verdict: Column, about_note: str) -> Column:
+    """STRUCT (value, note) of one verdict: a mismatch that confirms the value and whose reason holds ``about_note`` is about the note."""
+    only_note = F.coalesce((verdict == MISMATCH) & value_confirmed & reason.contains(about_note), F.lit(False))
+    return F.struct(F.when(only_note, CONFIRMED).otherwise(verdict).alias("value"), F.when(only_note, MISMATCH).otherwise(note_verdict).alias("note"))
+
+
+def doubted_notes(notes: DataFrame, passes: DataFrame) -> DataFrame:
+    """(key, note, checked_note, changed): notes that changed since a first pass read them, or that one didn't confirm.
+
+    ``notes``: key, note. ``passes``: pass, key, verdict on the note (null: it
+    gave none), checked_note (null: it quoted none). What the passes judged is
+    the wording that the last of them quoted, by the order of their names.
+    """
+    read = passes.groupBy("key").agg(F.max_by("checked_note", F.when(F.col("checked_note").isNotNull(), F.col("pass"))).alias("checked_note"), F.max(F.coalesce(F.col("verdict") != CONFIRMED, F.lit(False))).alias("doubted"))
+    changed = F.col("checked_note").isNotNull() & ~F.col("checked_note").eqNullSafe(F.col("note"))
+    return notes.join(read, "key").withColumn("changed", changed).where("changed or doubted").select("key", "note", "checked_note", "changed")
+
+
+def recheck_verdicts(notes: DataFrame, rechecks: DataFrame) -> DataFrame:
+    """(key, recheck, verdict, reason, current, confirmed_by_all): each note beside every re-check, however many there are.
+
+    ``rechecks``: recheck, key, verdict, reason, checked_note. One that didn't
+    look at a note has ``not checked``. ``current`` tells whether it judged the
+    wording on file; a note is confirmed by all if each re-check confirmed its
+    current wording, and by none if there is no re-check. Names of re-checks
+    become literals of the plan, so notes are not multiplied by a join.
+    """
+    named = notes.select("key", "note", F.explode(listed(rechecks.select("recheck").distinct())).alias("r")).select("key", "note", "r.recheck")
+    met = named.join(rechecks.select("recheck", "key", "verdict", "reason", "checked_note"), ["recheck", "key"], "left")
+    verdict, current = F.coalesce("verdict", F.lit(NOT_CHECKED)), F.coalesce(F.col("checked_note") == F.col("note"), F.lit(False))
+    rows = met.select("key", "recheck", verdict.alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"), current.alias("current"))
+    every = rows.groupBy("key").agg(F.bool_and((F.col("verdict") == CONFIRMED) & F.col("current")).alias("confirmed_by_all"))
+    return rows.join(every, "key")
+
+
+def recheck_problems(notes: DataFrame, passes: DataFrame, rechecks: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(key, recheck, problem): what the re-checks leave to a person.
+
+    A mismatch in a doubted note; a reworded note that not every re-check
+    confirmed (a null recheck); of other notes a mismatch without a resolution
+    (``resolved``: key), or a verdict on an earlier wording. Keys that no note
+    has, and keys that a re-check holds twice, are rows too: nothing is dropped.
+    """
+    doubted = doubted_notes(notes, passes)
+    own = recheck_verdicts(doubted, rechecks)
+    missed = own.where(F.col("verdict") == MISMATCH).select("key", "recheck", F.lit("mismatch in a doubted note").alias("problem"))
+    reworded = doubted.where("changed").select("key").join(own.where("not confirmed_by_all").select("key").distinct(), "key").select("key", F.lit(None).cast("string").alias("recheck"), F.lit("reworded and not confirmed by all").alias("problem"))
+    others = notes.join(rechecks.select("key").distinct(), "key", "left_semi").join(doubted.select("key"), "key", "left_anti")
+    judged = recheck_verdicts(others, rechecks).where(F.col("verdict") != NOT_CHECKED).join(resolved.select("key", F.lit(True).alias("done")), "key", "left")
+    found = F.when((F.col("verdict") == MISMATCH) & F.col("done").isNull(), "mismatch without a resolution").when(~F.col("current"), "judged an earlier wording")
+    finding = judged.select("key", "recheck", found.alias("problem")).where("problem is not null")
+    strange = rechecks.join(notes.select("key"), "key", "left_anti").select("key", "recheck", F.lit("no such note").alias("problem")).distinct()
+    twice = rechecks.groupBy("key", "recheck").count().where("count > 1").select("key", "recheck", F.lit("two records").alias("problem"))
+    return missed.unionByName(reworded).unionByName(finding).unionByName(strange).unionByName(twice)

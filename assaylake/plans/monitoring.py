@@ -128,10 +128,6 @@ def round_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Both names stay; either covers every analyte.
-round_change_all = round_change
-
-
 def kleene_all_by_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = results(spark, sf_dir)
     below = F.when(F.col("value").isNull(), F.lit(None)).otherwise(F.col("value") < 200)
@@ -197,7 +193,6 @@ def compact_id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Both names stay; either covers every customer.
-compact_id_match_all = compact_id_match
 
 
 def id_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,14 +295,12 @@ QUERIES = {
     "detected_counts": detected_counts,
     "latest_round": latest_round,
     "round_change": round_change,
-    "round_change_all": round_change_all,
     "kleene_all_by_well": kleene_all_by_well,
     "nearest_value": nearest_value,
     "criteria_bounds": criteria_bounds,
     "three_way_reconcile": three_way_reconcile,
     "missing_ids": missing_ids,
     "compact_id_match": compact_id_match,
-    "compact_id_match_all": compact_id_match_all,
     "id_suggestions": id_suggestions,
     "duplicate_rpd": duplicate_rpd,
     "holding_time": holding_time,
@@ -361,12 +354,6 @@ with results as ({RESULTS})
 select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.value) as n_rises,
        max(cast(b.value - a.value as double)) as largest_rise, count(*) filter (abs(b.value - a.value) * 2 >= a.value) as n_half_or_more
 from results a join results b on a.well = b.well and a.analyte = b.analyte and a.date < b.date and a.value <> b.value
-group by all""",
-    "round_change_all": f"""
-with results as ({RESULTS})
-select a.well, a.analyte, count(*) as n_pairs, count(*) filter (b.value > a.value) as n_rises,
-       max(cast(b.value - a.value as double)) as largest_rise, count(*) filter (abs(b.value - a.value) * 2 >= a.value) as n_half_or_more
-from results a join results b on a.well = b.well and a.analyte = b.analyte and a.date < b.date and a.value <> b.value
 group by all""",
     "kleene_all_by_well": f"""
 with results as ({RESULTS})
@@ -408,11 +395,6 @@ union all select s, 'field sheet', 'chain of custody' from field where s not in
 with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer)
 select lab_id, regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') as compact, count(*) as n_candidates, min(c_name) as coc_id
 from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g')
-group by all""",
-    "compact_id_match_all": """
-with lab as (select upper(replace(c_name, '#', ' - ')) as lab_id, c_nationkey from customer)
-select lab_id, regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') as compact, count(*) as n_candidates, min(c_name) as coc_id
-from lab l join customer c on l.c_nationkey = c.c_nationkey and regexp_replace(lower(lab_id), '[^0-9a-z]', '', 'g') = regexp_replace(lower(c_name), '[^0-9a-z]', '', 'g')
 group by all""",
     "duplicate_rpd": """
 with one as (select l_orderkey, l_linenumber as n, cast(max(l_quantity) as decimal(18,9)) as q, cast(max(l_extendedprice) as decimal(18,9)) as p from lineitem where l_linenumber in (1, 2) group by all),

@@ -78,6 +78,35 @@ def pass_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.pass_counts(accuracy.compare_passes(labels.select("key", "value"), first.unionByName(second)))
 
 
+def _rechecks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labels as values with a note on their document; two passes read the notes, three re-checks some of them again.
+
+    Every seventh note was reworded since; a re-check of each language's shorter
+    documents judges the wording on file, or the old one where it is of an even
+    id. Documents without a label are notes of none.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("from "), F.coalesce("source", F.lit("nowhere"))).alias("old"), "lang", "n_chars")
+    held = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "quality", "toxic").join(docs, "key")
+    note = F.when(F.col("key") % 7 == 0, F.concat("old", F.lit(", see text"))).otherwise(F.col("old"))
+    first = held.select(F.lit("A").alias("pass"), "key", F.when(F.col("quality") == 1, accuracy.CONFIRMED).when(F.col("toxic") == 1, accuracy.MISMATCH).alias("verdict"), "old")
+    second = held.where("n_chars >= 100").select(F.lit("B").alias("pass"), "key", F.lit(accuracy.CONFIRMED).alias("verdict"), F.when(F.col("key") % 3 > 0, F.col("old")).alias("old"))
+    passes = first.unionByName(second).withColumnRenamed("old", "checked_note")
+    verdict = F.when(F.col("n_chars") % 5 == 0, accuracy.MISMATCH).when(F.col("n_chars") % 5 == 1, "unclear").otherwise(accuracy.CONFIRMED)
+    checked = F.when((F.col("key") % 7 == 0) & (F.col("key") % 2 > 0), F.concat("old", F.lit(", see text"))).otherwise(F.col("old"))
+    again = docs.where("lang is not null and n_chars < 1500").select(F.concat(F.lit("re-check "), "lang").alias("recheck"), "key", verdict.alias("verdict"), F.lit("read again").alias("reason"), checked.alias("checked_note"))
+    whole = docs.where("n_chars < 600").select(F.lit("re-check of short ones").alias("recheck"), "key", F.lit(accuracy.CONFIRMED).alias("verdict"), F.lit("short").alias("reason"), checked.alias("checked_note"))
+    return held.select("key", note.alias("note")), passes, again.unionByName(whole), held.where("toxic = 1").select("key")
+
+
+def recheck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes, passes, rechecks, _ = _rechecks(spark, sf_dir)
+    return accuracy.recheck_verdicts(accuracy.doubted_notes(notes, passes), rechecks)
+
+
+def recheck_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.recheck_problems(*_rechecks(spark, sf_dir))
+
+
 def outcome_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as test cases: above 150 failed, below 5 skipped, errors expected to fail."""
     cases = table(spark, sf_dir, "events").select(
@@ -99,13 +128,46 @@ QUERIES = {
     "phrase_hits": phrase_hits,
     "retrieval_rates": retrieval_rates,
     "pass_agreement": pass_agreement,
+    "recheck_verdicts": recheck_verdicts,
+    "recheck_problems": recheck_problems,
     "outcome_areas": outcome_areas,
     "request_status": request_status,
 }
 
 _LINES = r"list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> '')"
 
+_RECHECKS = """
+with docs as (select doc_id as key, 'from ' || coalesce(source, 'nowhere') as old, lang, n_chars from documents),
+held as (select l.doc_id as key, quality, toxic, old, lang, n_chars from labels l join docs d on d.key = l.doc_id),
+notes as (select key, case when key % 7 = 0 then old || ', see text' else old end as note from held),
+passes as (
+  select 'A' as pass, key, case when quality = 1 then 'confirmed' when toxic = 1 then 'mismatch' end as verdict, old as checked_note from held
+  union all select 'B', key, 'confirmed', case when key % 3 > 0 then old end from held where n_chars >= 100),
+judged0 as (select *, case when key % 7 = 0 and key % 2 > 0 then old || ', see text' else old end as checked_note from docs),
+rechecks as (
+  select 're-check ' || lang as recheck, key, case n_chars % 5 when 0 then 'mismatch' when 1 then 'unclear' else 'confirmed' end as verdict, 'read again' as reason, checked_note
+  from judged0 where lang is not null and n_chars < 1500
+  union all select 're-check of short ones', key, 'confirmed', 'short', checked_note from judged0 where n_chars < 600),
+read_ as (select key, arg_max(checked_note, pass) filter (checked_note is not null) as checked_note, bool_or(coalesce(verdict <> 'confirmed', false)) as doubted from passes group by key),
+doubted as (
+  select key, note, coalesce(checked_note <> note, false) as changed from notes join read_ using (key) where doubted or coalesce(checked_note <> note, false)),
+names as (select distinct recheck from rechecks),
+own0 as (
+  select d.key, n.recheck, coalesce(r.verdict, 'not checked') as verdict, coalesce(r.reason, '') as reason, coalesce(r.checked_note = d.note, false) as current
+  from doubted d cross join names n left join rechecks r on r.key = d.key and r.recheck = n.recheck),
+own as (select *, bool_and(verdict = 'confirmed' and current) over (partition by key) as confirmed_by_all from own0)
+"""
+
 SQL = {
+    "recheck_verdicts": f"{_RECHECKS} select key, recheck, verdict, reason, current, confirmed_by_all from own",
+    "recheck_problems": f"""{_RECHECKS}
+select key, recheck, 'mismatch in a doubted note' as problem from own where verdict = 'mismatch'
+union all select distinct key, null, 'reworded and not confirmed by all' from own join doubted using (key) where changed and not confirmed_by_all
+union all select * from (
+  select r.key, r.recheck, case when r.verdict = 'mismatch' and r.key not in (select key from held where toxic = 1) then 'mismatch without a resolution' when r.checked_note <> n.note then 'judged an earlier wording' end as problem
+  from rechecks r join notes n using (key) where key not in (select key from doubted)) where problem is not null
+union all select distinct key, recheck, 'no such note' from rechecks where key not in (select key from notes)
+union all select key, recheck, 'two records' from rechecks group by key, recheck having count(*) > 1""",
     "page_labels": rf"""
 with pages as (
   select doc_id // {BOOK} as doc, cast(doc_id % {BOOK} + 1 as integer) as page,

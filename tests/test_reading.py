@@ -5,6 +5,7 @@ from decimal import Decimal as D
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from assaylake.functions import prose, stems
 from assaylake.operators import accuracy, drafting, pages, phrases, spelling
@@ -172,3 +173,32 @@ def test_redacted_fill_and_sources(spark):
     assert got.text == "[CLIENT-1]: 0.038 ug/L by [EMAIL-1], 0.07 ug/L, 0.038 ug/L [CLIENT-1]" and got.counts == {"CLIENT": 2, "EMAIL": 1}
     numbered = drafting.numbered_sources(drafting.resolve(drafting.placeholders(templates), lab, limits)).orderBy("pos").collect()
     assert [(r.source, r.kind) for r in numbered] == [(1, "laboratory"), (2, "guideline"), (1, "laboratory")]
+
+
+def test_rechecks_beside_notes(spark):
+    """A variable number of re-checks: what they left out, earlier wordings, keys of no note, and two records."""
+    notes = spark.createDataFrame([(1, "a"), (2, "b new"), (3, "c"), (4, "d")], "key int, note string")
+    passes = spark.createDataFrame([("A", 1, "mismatch", "a"), ("B", 1, "confirmed", None), ("A", 2, "confirmed", "b"), ("A", 3, "confirmed", "c"), ("B", 4, None, None)], "pass string, key int, verdict string, checked_note string")
+    rechecks = spark.createDataFrame(
+        [("x", 1, "mismatch", "r", "a"), ("y", 2, "confirmed", "r", "b new"), ("x", 3, "confirmed", "r", "c old"), ("y", 4, "mismatch", "r", "d"), ("y", 9, "confirmed", "r", "z"), ("x", 2, "confirmed", "r", "b new"), ("x", 2, "confirmed", "r", "b new")],
+        "recheck string, key int, verdict string, reason string, checked_note string",
+    )
+    doubted = accuracy.doubted_notes(notes, passes)
+    assert sorted((r["key"], r["changed"]) for r in doubted.collect()) == [(1, False), (2, True)]
+    got = {(r["key"], r["recheck"]): (r["verdict"], r["current"], r["confirmed_by_all"]) for r in accuracy.recheck_verdicts(doubted, rechecks).collect()}
+    assert got == {(1, "x"): ("mismatch", True, False), (1, "y"): ("not checked", False, False), (2, "x"): ("confirmed", True, True), (2, "y"): ("confirmed", True, True)}
+    none = spark.createDataFrame([], "key int")
+    problems = sorted((r["key"], r["recheck"], r["problem"]) for r in accuracy.recheck_problems(notes, passes, rechecks, none).collect())
+    assert problems == [
+        (1, "x", "mismatch in a doubted note"), (2, "x", "two records"), (3, "x", "judged an earlier wording"), (4, "y", "mismatch without a resolution"), (9, "y", "no such note"),
+    ]
+    done = accuracy.recheck_problems(notes, passes, rechecks.where("key = 4"), none.union(spark.createDataFrame([(4,)], "key int")))
+    assert [(r["key"], r["recheck"]) for r in done.collect()] == [(2, None)]
+    assert accuracy.recheck_verdicts(doubted, rechecks.where("false")).count() == 0
+
+
+def test_verdicts_on_the_note_alone(spark):
+    rows = [("mismatch", True, "only the note is off", None), ("mismatch", None, "only the note is off", "unclear"), ("mismatch", True, "the value", None), ("confirmed", None, None, "confirmed")]
+    frame = spark.createDataFrame(rows, "v string, ok boolean, reason string, note string")
+    got = [tuple(r["s"]) for r in frame.select(accuracy.split_verdict(F.col("v"), F.col("ok"), F.col("reason"), F.col("note"), "only the note").alias("s")).collect()]
+    assert got == [("confirmed", "mismatch"), ("mismatch", "unclear"), ("mismatch", None), ("confirmed", "confirmed")]

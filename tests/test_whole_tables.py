@@ -16,7 +16,7 @@ def by_sql(name):
     return sorted(con.execute(monitoring.SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["round_change", "round_change_all", "compact_id_match", "compact_id_match_all"])
+@pytest.mark.parametrize("name", ["round_change", "compact_id_match"])
 def test_against_sql(spark, name):
     frame = monitoring.QUERIES[name](spark, DIR)
     rows = sorted(tuple(r) for r in frame.collect())
@@ -24,9 +24,9 @@ def test_against_sql(spark, name):
 
 
 def test_every_analyte_and_customer(spark):
-    assert {r.analyte for r in monitoring.round_change_all(spark, DIR).collect()} == {"click", "view", "purchase", "error", "signup"}
+    assert {r.analyte for r in monitoring.round_change(spark, DIR).collect()} == {"click", "view", "purchase", "error", "signup"}
     names = {r.c_name for r in spark.read.parquet(f"{DIR}/customer.parquet").collect()}
-    assert {r.coc_id for r in monitoring.compact_id_match_all(spark, DIR).collect()} == names
+    assert {r.coc_id for r in monitoring.compact_id_match(spark, DIR).collect()} == names
     assert {r.coc_id for r in monitoring.id_suggestions(spark, DIR).collect()} == names
 
 
