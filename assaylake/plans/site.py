@@ -1,10 +1,11 @@
 """Site-file queries over the driver's tables, with their DuckDB SQL.
 
-The tables hold no files, so each query writes a table's rows as the numbered
-lines of many small CSV files (preamble, header, records with quoted cells,
-dates in several forms, and some rows with faults) and reads them with the
-readers of ``sources.site_files``. The SQL derives the same rows from the
-table's values, without any CSV.
+The tables hold no files, so each query turns a table's rows into the lines of
+many small CSV files (preamble, header, records with quoted cells, dates in
+several forms, and some rows with faults) and reads them with the readers of
+``sources.site_files``. Most hand the numbered lines over as they are;
+``written_lab_rows`` and ``written_preambles`` write them as files and read
+those. The SQL derives the same rows from the table's values, without any CSV.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaylake.plans import monitoring
-from assaylake.session import table
+from assaylake.session import Tables, cut, table
 from assaylake.sources import site_files
 
 
@@ -51,14 +52,49 @@ def _lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_files.lab_rows(site_files.cells_of(_lab_lines(spark, sf_dir), "lab"))
 
 
-def lab_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every typed laboratory row with its file, row and violations."""
-    return _lab(spark, sf_dir).select(
+def _lab_columns(typed: DataFrame) -> DataFrame:
+    return typed.select(
         "file", "row", "sample_id", F.col("sampled.d").alias("sampled_on"), F.col("sampled.minute").alias("minute"), "matrix", "analyte", "reported",
         F.col("value").cast("double").alias("value"), F.col("lor").cast("double").alias("lor"), "unit_key", "extracted", F.expr(_PROBLEMS),
     )
 
 
+def lab_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed laboratory row with its file, row and violations."""
+    return _lab_columns(_lab(spark, sf_dir))
+
+
+def _written_files(spark: SparkSession, sf_dir: str, tables: Tables) -> str:
+    """The folder of the laboratory files, one for each supplier, as text files in the shared folder."""
+    path = tables.folder("lab-files")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"])
+    _lab_lines(spark, sf_dir).groupBy("file").agg(F.array_join(lines, "\n").alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def _file_name(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file", F.regexp_extract("file", "/file=([^/]+)/", 1))
+
+
+def written_lab_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lab_file_rows`` from files that are written and read again."""
+    tables = Tables(spark)
+    try:
+        typed = _file_name(site_files.lab_rows(site_files.raw_cells(spark, _written_files(spark, sf_dir, tables), "lab")))
+        return cut(_lab_columns(typed), "written-lab-rows")
+    finally:
+        tables.clear()
+
+
+def written_preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands above the header of each written file."""
+    tables = Tables(spark)
+    try:
+        return cut(_file_name(site_files.preamble(spark, _written_files(spark, sf_dir, tables))), "written-preambles")
+    finally:
+        tables.clear()
+
+
 def problem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each violation of the laboratory files with the physical line that it names."""
     return site_files.source_lines(site_files.violations(_lab(spark, sf_dir)), _lab_lines(spark, sf_dir)).select("file", "row", "problem", "text")
@@ -99,6 +135,8 @@ def round_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "lab_file_rows": lab_file_rows,
+    "written_lab_rows": written_lab_rows,
+    "written_preambles": written_preambles,
     "problem_lines": problem_lines,
     "coc_file_rows": coc_file_rows,
     "field_file_rows": field_file_rows,
@@ -127,6 +165,7 @@ lab as (
 
 SQL = {
     "lab_file_rows": f"with {_LAB} select file, row, sample_id, sampled_on, minute, matrix, analyte, reported, value, lor, unit_key, extracted, problems from lab",
+    "written_preambles": "select distinct 'lab-' || l_suppkey as file, 1 as row, 'Site' as key, 'north' as value from lineitem",
     "problem_lines": f"""
 with {_LAB}, p as (select *, unnest(string_split(problems, '; ')) as problem from lab where problems <> '')
 select file, row, problem,
@@ -156,3 +195,4 @@ select 'well-' || well as file, cast(2 + row_number() over (partition by well or
        cast(cast(value as decimal(18,2)) as double) as value, cast(lor as double) as lor, case when event_id % 13 = 0 then 'the date is not an ISO date' else '' end as problems
 from results""",
 }
+SQL["written_lab_rows"] = SQL["lab_file_rows"]

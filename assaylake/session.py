@@ -84,6 +84,12 @@ class Tables:
         self.paths.append(path)
         return out
 
+    def folder(self, name: str) -> str:
+        """A new path in the shared folder, which goes with ``clear`` too."""
+        path = f"{shared_dir(self.spark)}/assaylake-{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        return path
+
     def clear(self) -> None:
         """Remove the tables. Nothing that is still to run may read them."""
         context = self.spark.sparkContext
