@@ -20,11 +20,11 @@ family, which branching would hardly split. It is compared once, the classes
 outside its largest component with all others, in blocks. Looser and very large
 nodes branch again, and after DEPTHS selections they too meet in blocks.
 
-Pivot pairs and small nodes first pass a size test, which loses nothing, and a
-test on minwise tokens, which loses a link less than once in 1 / MISS_TEST; then
-every link is confirmed on full sets. Components are closed under the links by
-minimum labels with pointer jumping. Nodes exchange class numbers; sets are
-exchanged for classes with a candidate, and for large nodes that are mixed.
+Pivot pairs, small nodes and blocks first pass a size test, which loses nothing,
+and a test on minwise tokens, which loses a link less than once in
+1 / MISS_TEST; then every link is confirmed on full sets. Components are closed
+under the links by minimum labels with pointer jumping. Nodes exchange class
+numbers, blocks minwise tokens; sets are exchanged for classes with a candidate.
 """
 
 from __future__ import annotations
@@ -380,11 +380,31 @@ def families(large: DataFrame) -> DataFrame:
     return members.join(by_tree, "pivot").where(f"members <= {FAMILY} and members * members <= pairs").select("pivot")
 
 
+def hopeful_between(one: pa.Table, two: pa.Table, percent: int) -> pa.Table:
+    """Rows of two blocks that may be linked across components, by their sizes and minwise tokens; side is 0 in the first."""
+    sides = []
+    for held in (one, two):
+        tokens = held.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, PERMUTATIONS)
+        sides.append((tokens, held.column("label").to_numpy(), held.column("n_shingles").to_numpy()))
+    (x, label_x, size_x), (y, label_y, size_y) = sides
+    found = [np.zeros(len(x), bool), np.zeros(len(y), bool)]
+    for at in range(0, len(x), 64):
+        part = slice(at, at + 64)
+        fit = 100 * np.minimum(size_x[part, None], size_y) >= percent * np.maximum(size_x[part, None], size_y)
+        i, j = np.nonzero(fit & (label_x[part, None] != label_y) & (_agreeing(x[part], y) >= least_agreeing(percent)))
+        found[0][i + at] = found[1][j] = True
+    names = ["node", "group", "block", "key", "label"]
+    parts = [held.select(names).append_column("side", pa.array(np.full(held.num_rows, k, np.int32))).filter(pa.array(rows)) for k, (held, rows) in enumerate(zip((one, two), found, strict=True))]
+    return pa.concat_tables(parts)
+
+
 def in_blocks(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """Links across components within the groups (node, key, label) that are too large for one task.
 
     In each of them the classes outside its largest component are compared with
-    all that it holds, block by block.
+    all that it holds, block by block: first by their minwise tokens, then the
+    full sets of those that may be linked. So sets are exchanged for hopeful
+    classes only, however large a group is.
     """
     counted = large.groupBy("node", "label").agg(F.count("*").alias("n"))
     shape = (
@@ -393,17 +413,26 @@ def in_blocks(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
         .select("node", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("groups"))
     )
     held = large.select("node", "key", "label").join(tables.cut(shape, "node-shapes"), "node")
-    shown = classes.select("key", "n_shingles").join(sets, "key")
+    sketched = classes.select("key", "n_shingles", "tokens")
     block, group = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("groups")).cast("int")
-    own = held.where("label <> main").select("node", "key", "label", group.alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(shown, "key")
-    theirs = held.where("groups > 0").select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(shown, "key")
+    own = held.where("label <> main").select("node", "key", "label", group.alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sketched, "key")
+    theirs = held.where("groups > 0").select("node", "key", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(sketched, "key")
     by = ("node", "group", "block")
     theirs = theirs.toDF(*theirs.columns)  # names of its own for the cogroup
 
+    def hopeful(one: pa.Table, two: pa.Table) -> pa.Table:
+        return hopeful_between(one, two, percent)
+
+    kind = "node long, group int, block int, key long, label long, side int"
+    asked = tables.cut(own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInArrow(hopeful, kind), "hopeful-blocks")
+    full = asked.join(classes.select("key", "n_shingles").join(sets, "key"), "key")
+    first, second = full.where("side = 0").drop("side"), full.where("side = 1").drop("side")
+    second = second.toDF(*second.columns)
+
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         return links_between(one, two, percent)
 
-    return tables.cut(own.groupBy(*by).cogroup(theirs.groupBy(*by)).applyInPandas(run, "a long, b long").distinct(), "block-links")
+    return tables.cut(first.groupBy(*by).cogroup(second.groupBy(*by)).applyInPandas(run, "a long, b long").distinct(), "block-links")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
@@ -486,10 +515,11 @@ def near_duplicates(docs: DataFrame, percent: int = OP5_PERCENT) -> DataFrame:
     gives no rows.
     """
     tables = Tables(docs.sparkSession)
-    marked = _marked(_plain(docs), percent, tables)
-    out = cut(marked.select("doc_id", "n_shingles", F.col("component").alias("component_id"), _keeps().alias("kept")), "near-duplicates")
-    tables.clear()
-    return out
+    try:
+        marked = _marked(_plain(docs), percent, tables)
+        return cut(marked.select("doc_id", "n_shingles", F.col("component").alias("component_id"), _keeps().alias("kept")), "near-duplicates")
+    finally:
+        tables.clear()
 
 
 def dedup_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -503,9 +533,11 @@ def dedup_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     no rows.
     """
     tables = Tables(docs.sparkSession)
-    marked = _marked(_plain(docs), percent, tables)
-    keep = cut(marked.where(_keeps()).groupBy("doc_id", "high", "low").agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash"), "kept-documents")
-    tables.clear()
+    try:
+        marked = _marked(_plain(docs), percent, tables)
+        keep = cut(marked.where(_keeps()).groupBy("doc_id", "high", "low").agg(F.min("text_hash").alias("kept_hash")).select(F.col("doc_id").alias("kept_id"), "kept_hash"), "kept-documents")
+    finally:
+        tables.clear()
     by_text = F.xxhash64(F.col("text").cast("string")) == F.col("kept_hash")
     kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & by_text, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns)
