@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.operators import concepts, fields, retrieval
+from assaylake.operators import concepts, fields, retrieval, scope
 from assaylake.session import Tables, cut, ship, table
 
 STOP_SHARE, MOST_STOPWORDS, K, EXCERPT = 0.25, 1000, 5, 40
@@ -107,7 +107,43 @@ def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
         tables.clear()
 
 
-QUERIES = {"question_concepts": question_concepts, "guidance_passages": guidance_passages, "guidance_status": guidance_status, "best_excerpts": best_excerpts}
+#: Rules of the scope query, and what its questions begin with.
+SCOPE_RULES = (
+    ("drop", 1, r"\[CLIENT-\d+\]", [], False),
+    ("document", 1, r"(?i)\bSRC1 v2\b", ["src1-v2"], False),
+    ("document", 2, r"(?i)\bSRC1\b", ["src1-v1", "src1-v2"], False),
+    ("place", 1, r"\b(?:Onen|Thin)\b", [], False),
+    ("country", 1, r"\bOuland\b", [], False),
+    ("rules", 1, r"(?i)\brules\b", [], False),
+    ("statement", 1, r"(?i)\bsays about\b", [], False),
+    ("own", 1, r"(?i)\bthand\b", [], False),
+    ("topic", 1, r"(?i)\bcheapest\b", ["prices are not covered"], False),
+    ("note", 1, r"(?i)\bof\b", ["says of"], False),
+    ("note", 2, r"\bAnd\b", ["says And"], False),
+)
+OPENINGS = ("In SRC1 v2, ", "In SRC1 v2 and SRC1, [CLIENT-1] ", "The rules of Ouland: ", "Ouland says about ", "Which is cheapest, ", "")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(OPENINGS))) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("qid"), F.concat(opening, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def question_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every turn of the conversations is about."""
+    rules = spark.createDataFrame(SCOPE_RULES, "kind string, ord int, pattern string, says array<string>, ordinary boolean")
+    found = scope.read(_turns(spark, sf_dir), rules)
+    return found.select("qid.conv_id", "qid.turn", "search_text", F.array_join("named", "|").alias("named"), F.array_join("no_edition", "|").alias("no_edition"), "place", "topic", F.array_join("notes", "|").alias("notes"))
+
+
+def scope_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why turns need no search, where src1-v2 is the only document that isn't indexed."""
+    rules = spark.createDataFrame(SCOPE_RULES, "kind string, ord int, pattern string, says array<string>, ordinary boolean")
+    found = scope.read(_turns(spark, sf_dir), rules)
+    return scope.early(found, spark.createDataFrame([("src1-v1",)], "doc string")).groupBy("why").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"question_scope": question_scope, "scope_reasons": scope_reasons, "question_concepts": question_concepts, "guidance_passages": guidance_passages, "guidance_status": guidance_status, "best_excerpts": best_excerpts}
 
 
 # --- the same in SQL ---------------------------------------------------------
@@ -244,7 +280,31 @@ passages as (select qid, rank, rowid, coverage, heading_share, phrase_share, rel
 
 _LETTERS = fields._LETTERS
 
+_SCOPE = rf"""
+with q as (
+  select conv_id, turn, list_extract([{", ".join(f"'{o}'" for o in OPENINGS)}], cast(((conv_id + turn) % {len(OPENINGS)} + {len(OPENINGS)}) % {len(OPENINGS)} + 1 as integer)) || coalesce(text, '') as text
+  from conversations),
+bare as (select *, regexp_replace(text, '\[CLIENT-\d+\]', ' ', 'g') as b from q),
+first as (select *, regexp_matches(b, '(?i)\bSRC1 v2\b') as v2, regexp_replace(b, '(?i)\bSRC1 v2\b', ' ', 'g') as b1 from bare),
+second as (select *, regexp_matches(b1, '(?i)\bSRC1\b') as loose, regexp_replace(b1, '(?i)\bSRC1\b', ' ', 'g') as b2 from first),
+scoped as (
+  select conv_id, turn, trim(regexp_replace(b2, '\s+', ' ', 'g')) as search_text,
+         case when loose then 'src1-v1|src1-v2' when v2 then 'src1-v2' else '' end as named,
+         case when loose and v2 then 'src1-v1' when loose then 'src1-v1|src1-v2' else '' end as no_edition,
+         case when regexp_matches(text, '(?i)\bthand\b') then null else list_extract(list_concat(
+           regexp_extract_all(text, '\b(?:Onen|Thin)\b'),
+           case when regexp_matches(text, '(?i)\brules\b') or regexp_matches(text, '(?i)\bsays about\b') then regexp_extract_all(text, '\bOuland\b') else [] end), 1) end as place,
+         case when regexp_matches(text, '(?i)\bcheapest\b') then 'prices are not covered' end as topic,
+         concat_ws('|', case when regexp_matches(text, '(?i)\bof\b') then 'says of' end, case when regexp_matches(text, '\bAnd\b') then 'says And' end) as notes
+  from second)
+"""
+
 SQL = {
+    "question_scope": f"{_SCOPE} select * from scoped",
+    "scope_reasons": f"""{_SCOPE}
+select why, count(*) as n
+from (select case when place is not null then 'about the rules of ' || place when topic is not null then topic when named = 'src1-v2' then 'names a document that is not indexed' end as why from scoped)
+where why is not null group by why""",
     "question_concepts": f"{_CONCEPTS} select qid, n, label, array_to_string(phrases, '|') as phrases, expanded from concepts",
     "guidance_passages": f"{_SEARCH} select qid, rank, rowid, coverage, heading_share, cast(phrase_share as double) as phrase_share, round(relevance, 6) as relevance, strong from passages",
     "guidance_status": f"""{_SEARCH}
