@@ -237,3 +237,23 @@ def test_words_and_pieces_go_together(spark):
     for r in frame.collect():
         assert len(r["w"]) == len(r["p"])
     assert list(itertools.chain(*(r["w"] for r in frame.collect())))[:5] == ["generale", "ug", "l", "5k", "x"]
+
+
+def test_passages_find_their_chunk(spark):
+    """The only chunk of a page, else of its section, else the one that holds the longest part of the excerpt."""
+    chunks = [
+        (1, "a", 1, "s", "alone on its page"), (2, "a", 2, "s", "first of two"), (3, "a", 2, "t", "second of two"), (4, "a", 3, "s", "long shared words and one apple"), (5, "a", 3, "s", "long shared words and 3 – 4 pears"),
+        (6, "a", 3, None, "no section — here"), (7, "b", None, "s", "a web page"), (8, "c", 4, "s", "twin text"), (9, "c", 4, "s", "twin text"),
+    ]
+    asked = [
+        (1, "a", 1, "other", "..."), (2, "a", 2, "t", ""), (3, "a", 3, "s", "... and 3 – 4 pears ..."), (4, "a", 3, "s", "long shared words"), (5, "a", 3, "u", "one apple ...\nand"),
+        (6, "a", 3, None, "x"), (7, "b", None, "q", None), (8, "c", 4, "s", "twin text"), (9, "z", 1, "s", "nothing"), (10, "a", 2, "u", ""),
+    ]
+    held = spark.createDataFrame(chunks, "chunk_id int, doc string, page int, section string, text string")
+    passages = spark.createDataFrame(asked, "pid int, doc string, page int, section string, excerpt string")
+    got = {r["pid"]: r["chunk_id"] for r in fs.located(passages, held).collect()}
+    assert got == {1: 1, 2: 3, 3: 5, 4: None, 5: 4, 6: 6, 7: 7, 8: None, 9: None, 10: None}
+    shown = passages.selectExpr("*", "pid as number", "'Plan' as title", "'v1' as edition", "'p. 2–3' as location", "if(pid = 3, 'A > B > C', 'A') as path", "if(pid = 3, 'A', 'B') as lane", "'CC BY 4.0' as licence")
+    rows = {r["pid"]: r for r in fs.context(shown, held, 4).collect()}
+    assert rows[3]["header"] == "[3] Plan, v1. p. 2 to 3. Part of: A > B." and rows[3]["body"] == "long shared words and ..." and rows[3]["reusable"]
+    assert rows[8]["body"] == "twin text" and rows[1]["header"] == "[1] Plan, v1. p. 2 to 3." and not rows[1]["reusable"] and rows[6]["body"] == "no section, here"
