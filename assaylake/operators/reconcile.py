@@ -132,13 +132,13 @@ def unit_outliers(lab: DataFrame) -> DataFrame:
     )
 
 
-def pair_verdict(a, b, a_open, b_open, lor):
+def pair_verdict(a, b, a_open, b_open, lor, review: int = RPD_REVIEW, investigate: int = RPD_INVESTIGATE, lor_multiple: int = LOR_MULTIPLE):
     """Class of one duplicate pair by cross-multiplied differences."""
     return (
         F.when(a_open & b_open, "both not detected")
-        .when(a + b < 2 * LOR_MULTIPLE * lor, "no limit")
-        .when(exact.exceeds_rpd(a, b, RPD_INVESTIGATE), "investigate")
-        .when(exact.exceeds_rpd(a, b, RPD_REVIEW), "review")
+        .when(a + b < 2 * lor_multiple * lor, "no limit")
+        .when(exact.exceeds_rpd(a, b, investigate), "investigate")
+        .when(exact.exceeds_rpd(a, b, review), "review")
         .otherwise("acceptable")
     )
 
