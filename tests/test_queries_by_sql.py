@@ -1,14 +1,14 @@
-"""Queries of the site and review plans against their SQL, on small tables."""
+"""Queries of the site, review, guidance and book plans against their SQL, on small tables."""
 
 import pytest
 
-from assaylake.plans import reviews, site, texts
+from assaylake.plans import books, guidance, reviews, site, texts
 
 duckdb = pytest.importorskip("duckdb")
 DIR = "/root/testdata/sf0.001"
-TABLES = ("events", "orders", "lineitem", "documents", "customer")
-QUERIES = site.QUERIES | reviews.QUERIES | {"rate_limit": texts.rate_limit}
-SQL = site.SQL | reviews.SQL | {"rate_limit": texts.SQL["rate_limit"]}
+TABLES = ("events", "orders", "lineitem", "documents", "customer", "benchmark", "conversations")
+QUERIES = site.QUERIES | reviews.QUERIES | guidance.QUERIES | books.QUERIES | {"rate_limit": texts.rate_limit}
+SQL = site.SQL | reviews.SQL | guidance.SQL | books.SQL | {"rate_limit": texts.SQL["rate_limit"]}
 
 
 def ordered(rows):
