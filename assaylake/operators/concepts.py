@@ -43,6 +43,11 @@ def singular(word: Column) -> Column:
     return F.when(plural, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
+def singular_word(word: str) -> str:
+    """:func:`singular` of one word."""
+    return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "us", "is")) else word
+
+
 def fold(words: Column) -> Column:
     return F.transform(words, singular)
 
