@@ -2,49 +2,48 @@
 
 ``rows``: rowid, text. ``phrases``: phrase_id, text. Repeated words of a
 phrase keep their places; a phrase without a word is nowhere. Words are stemmed
-where they stand, so rows meet phrases by one hash of a whole run of stems and
-no word of a row is exchanged.
+and matched where they stand, in one pass over the rows; every task holds the
+phrases, and neither a word nor a run of words is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.functions.stems import stem_all
+from assaylake.functions.stems import porter
+from assaylake.operators import matching
 from assaylake.operators.retrieval import B, K1, bm25_idf, tokens
+from assaylake.session import cut
 
 
-def _runs(stems: Column, size: int) -> Column:
-    """Every run of ``size`` neighbouring stems: size and two hashes."""
-    run = lambda i: F.slice(stems, i, size)
-    hashed = F.transform(F.sequence(F.lit(1), F.size(stems) - size + 1), lambda i: F.struct(F.lit(size).alias("size"), F.xxhash64(run(i)).alias("h"), F.hash(run(i)).alias("check")))
-    return F.when(F.size(stems) >= size, hashed)
+def _held(phrases: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, matching.Forms]:
+    """Rows with the forms that they hold, and (phrase_id, form)."""
+    asked = phrases.select("phrase_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").collect()
+    runs = [tuple(map(porter, r["words"])) for r in asked]
+    forms = matching.Forms(runs)
+    kind = phrases.select("phrase_id", F.lit(0).alias("form")).schema
+    known = phrases.sparkSession.createDataFrame([(r["phrase_id"], forms.form[run]) for r, run in zip(asked, runs, strict=True)], kind)
+    return matching.held_forms(rows, forms, {"text": 1.0}, stem=porter), known, forms
+
+
+def _hits(held: DataFrame, known: DataFrame) -> DataFrame:
+    entries = held.select("rowid", "length", F.explode(F.arrays_zip("forms", "uses")).alias("x"))
+    return entries.select("rowid", "length", F.col("x.forms").alias("form"), F.col("x.uses").cast("long").alias("n")).join(known, "form")
 
 
 def phrase_hits(phrases: DataFrame, rows: DataFrame) -> DataFrame:
-    """(phrase_id, rowid, n): how often the stems of a phrase follow each other in a row.
-
-    Runs of each length that a phrase has meet the phrases by their hashes of
-    96 bits; only such lengths are built.
-    """
-    wanted = phrases.select("phrase_id", stem_all(tokens(F.col("text"))).alias("stems")).where("size(stems) > 0")
-    wanted = wanted.select("phrase_id", F.size("stems").alias("size"), F.xxhash64("stems").alias("h"), F.hash("stems").alias("check"))
-    sizes = [r[0] for r in wanted.select("size").distinct().orderBy("size").collect()]  # lengths of phrases, a handful
-    if not sizes:
-        return rows.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "rowid", F.lit(0).cast("long").alias("n")).limit(0)
-    held = rows.select("rowid", stem_all(tokens(F.col("text"))).alias("stems"))
-    runs = F.flatten(F.array_compact(F.array(*(_runs(F.col("stems"), k) for k in sizes))))
-    placed = held.select("rowid", F.explode(runs).alias("x")).select("rowid", "x.*")
-    return placed.join(wanted, ["h", "check", "size"]).groupBy("phrase_id", "rowid").agg(F.count("*").alias("n"))
+    """(phrase_id, rowid, n): how often the stems of a phrase follow each other in a row."""
+    held, known, _ = _held(phrases, rows)
+    return _hits(held, known).select("phrase_id", "rowid", "n")
 
 
 def phrase_scores(phrases: DataFrame, rows: DataFrame) -> DataFrame:
     """(phrase_id, rowid, n, score): BM25 with the phrase as one term over rows of their own length in words."""
-    hits = phrase_hits(phrases, rows)
-    lengths = rows.select("rowid", F.size(tokens(F.col("text"))).alias("length"))
-    sizes = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    frequency = hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
-    joined = hits.join(frequency, "phrase_id").join(lengths, "rowid").join(sizes)  # one row
-    part = bm25_idf(F.col("total"), F.col("df")) * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    held, known, forms = _held(phrases, rows)
+    held = cut(held, "held-phrases")
+    df, _, total, mean = matching.counted(held, len(forms.form))
+    frequency = phrases.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(df)], "form int, df long")
+    joined = _hits(held, known.join(frequency, "form"))
+    part = bm25_idf(F.lit(total), F.col("df")) * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     return joined.select("phrase_id", "rowid", "n", part.alias("score"))
