@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assaylake.operators import accuracy, pages, phrases, retrieval, spelling
 from assaylake.plans import texts
-from assaylake.session import ship, table
+from assaylake.session import Tables, cut, ship, table
 from assaylake.streaming import limits
 
 BOOK = 50
@@ -62,12 +62,16 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether documents that copy a benchmark item are found for it; an item that none copies is out of scope."""
-    targets = texts.copied_runs(spark, sf_dir).select(F.col("item_id").alias("qid"), F.lit("documents").alias("doc"), F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("section"))
-    found = retrieval.gates(texts._ranked(spark, sf_dir)).where("strong").select("qid", F.col("place").alias("rank"), F.lit("documents").alias("doc"), F.col("rowid").alias("page"), F.lit(None).cast("string").alias("section"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.size(retrieval.tokens(F.col("text"))) >= 40, "long").otherwise("short").alias("grp"))
-    scoped = items.join(targets.select("qid", F.lit(True).alias("in_scope")).distinct(), "qid", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
-    rates = accuracy.retrieval_rates(scoped, targets, found)
-    return rates.select(F.coalesce("grp", F.lit("all")).alias("grp"), "n_in_scope", "hit1", "hit5", "hit8", "n_out_of_scope", "n_right_out_of_scope")
+    tables = Tables(spark)
+    try:
+        targets = tables.cut(texts.copied_runs(spark, sf_dir).select(F.col("item_id").alias("qid"), F.lit("documents").alias("doc"), F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("section")), "targets")
+        found = tables.cut(retrieval.gates(texts._ranked(spark, sf_dir)).where("strong").select("qid", F.col("place").alias("rank"), F.lit("documents").alias("doc"), F.col("rowid").alias("page"), F.lit(None).cast("string").alias("section")), "found")
+        items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.size(retrieval.tokens(F.col("text"))) >= 40, "long").otherwise("short").alias("grp"))
+        scoped = items.join(targets.select("qid", F.lit(True).alias("in_scope")).distinct(), "qid", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+        rates = accuracy.retrieval_rates(scoped, targets, found)
+        return cut(rates.select(F.coalesce("grp", F.lit("all")).alias("grp"), "n_in_scope", "hit1", "hit5", "hit8", "n_out_of_scope", "n_right_out_of_scope"), "retrieval-rates")
+    finally:
+        tables.clear()
 
 
 def pass_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
