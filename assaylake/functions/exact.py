@@ -38,7 +38,8 @@ def literal_map(values: dict) -> Column:
 
 def unit_key(raw: Column) -> Column:
     """Spelling key of a unit: no white space, lower case, both mu signs as u, mcg as ug."""
-    return F.replace(F.translate(F.lower(F.regexp_replace(raw, r"\s+", "")), "µμ", "uu"), F.lit("mcg"), F.lit("ug"))
+    plain = F.translate(F.regexp_replace(raw, r"\s+", ""), "µμΜ", "uuu")  # the capital too, so that lower() mostly meets ASCII
+    return F.replace(F.lower(plain), F.lit("mcg"), F.lit("ug"))
 
 
 def unit_matrix(key: Column) -> Column:
