@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions import exact
+from assaylake.session import cut
 
 #: Thresholds of the duplicate and blank checks (fixed values).
 RPD_REVIEW, RPD_INVESTIGATE, LOR_MULTIPLE, MARGINAL = 30, 50, 10, "1.5"
@@ -90,7 +91,16 @@ def suggestions(lab: DataFrame, coc: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["lab_id", "coc_id"])
 
     both = keyed(alone, "lab").unionByName(keyed(open_, "coc"))
-    return both.groupBy("compact", "matrix", "d").applyInPandas(match, "lab_id string, coc_id string")
+    own = Window.partitionBy("compact", "matrix", "d")
+    sized = both.withColumns({"n_lab": F.count_if(F.col("side") == "lab").over(own), "n_coc": F.count_if(F.col("side") == "coc").over(own)}).where("n_lab > 0 and n_coc > 0")
+    held = cut(sized, "id-blocks")
+    # a lab id that is alone in its block needs no order, and most are
+    lab_of = F.max(F.when(F.col("side") == "lab", F.struct("sample_id", "minute"))).over(own)
+    met = held.where("n_lab = 1").withColumn("mine", lab_of).where("side = 'coc'").where(F.col("minute").isNull() | F.col("mine.minute").isNull() | (F.col("minute") == F.col("mine.minute")))
+    found = met.groupBy("compact", "matrix", "d").agg(F.count("*").alias("n"), F.max("mine.sample_id").alias("lab_id"), F.max("sample_id").alias("coc_id"))
+    pairs = found.where("n = 1").select("lab_id", "coc_id")
+    several = held.where("n_lab > 1").drop("n_lab", "n_coc")
+    return pairs.unionByName(several.groupBy("compact", "matrix", "d").applyInPandas(match, "lab_id string, coc_id string"))
 
 
 def date_conflicts(lab: DataFrame, coc: DataFrame, field: DataFrame) -> DataFrame:
