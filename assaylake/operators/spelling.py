@@ -15,12 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaylake.session import cut
+
 #: Limits of proposals (fixed values).
 LEAST_LENGTH, LONG_WORD, LEAST_USES, CLEAR_WINNER = 4, 7, 2, 1.5
 
 
 def swap_distance(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; no part is edited twice."""
+    # what both begin or end with needs no edit
+    first, most = 0, min(len(a), len(b))
+    while first < most and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < most - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     rows: list[list[int]] = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         row = [i]
@@ -36,7 +46,7 @@ def swap_distance(a: str, b: str) -> int:
 @F.pandas_udf(T.IntegerType())
 def _distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
-        yield pd.Series([swap_distance(x, y) for x, y in zip(a, b, strict=True)])
+        yield pd.Series([None if x is None else swap_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def _without_one(word: Column) -> Column:
@@ -59,20 +69,29 @@ def proposals(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     half as many uses again as the next such word there is no proposal.
     Repeated, null, known and short words give none.
     """
-    letters = F.array_join(F.array_sort(F.split("word", "")), "").alias("letters")
-    known = vocabulary.where((F.col("uses") >= LEAST_USES) & (F.length("word") >= LEAST_LENGTH - 1) & F.col("word").rlike("^[a-z]+$")).select("word", "uses", letters)
+    known = vocabulary.where((F.col("uses") >= LEAST_USES) & (F.length("word") >= LEAST_LENGTH - 1) & F.col("word").rlike("^[a-z]+$")).select("word", "uses")
     asked = words.select("word").where((F.length("word") >= LEAST_LENGTH) & F.col("word").rlike("^[a-z]+$")).distinct()
     limit = F.when(F.length("word") >= LONG_WORD, 2).otherwise(1).alias("k")
-    typed = asked.join(vocabulary.select("word"), "word", "left_anti").select(F.col("word").alias("typed"), letters.alias("typed_letters"), limit)
-    left = typed.select("*", F.explode(shortened(F.col("typed"), F.col("k"))).alias("form"))
-    right = known.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("*", F.explode(shortened(F.col("word"), F.col("k"))).alias("form"))
-    near = (F.substring("typed", 1, 1) == F.substring("word", 1, 1)) & (F.abs(F.length("typed") - F.length("word")) <= F.col("k"))
+    typed = asked.join(vocabulary.select("word"), "word", "left_anti").select(F.col("word").alias("typed"), limit)
+
+    def forms(word: Column) -> Column:
+        """Hashes of the first letter, which is kept, with what is left of the others, and with the limit."""
+        first, rest = F.substring(word, 1, 1), F.substring(word, F.lit(2), F.length(word))
+        return F.transform(shortened(rest, F.col("k")), lambda x: F.xxhash64(first, x, F.col("k")))
+
+    # Words meet by a hash; what meets by chance is too far apart and goes with the others.
+    left = typed.select("typed", F.explode(forms(F.col("typed"))).alias("form"))
+    right = known.select("word", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("word", F.explode(forms(F.col("word"))).alias("form"))
+    k = F.when(F.length("typed") >= LONG_WORD, 2).otherwise(1)
+    met = left.join(right, "form").select("typed", "word", k.alias("k")).where((F.substring("typed", 1, 1) == F.substring("word", 1, 1)) & (F.abs(F.length("typed") - F.length("word")) <= F.col("k"))).distinct()
     # A swap is two plain edits and keeps the letters, so only pairs that may hold one go to the UDF.
-    plain = F.levenshtein("typed", "word")
-    pairs = left.join(right, ["form", "k"]).where(near).select("typed", "typed_letters", "k", "word", "uses", "letters").distinct().withColumn("plain", plain).where(F.col("plain") <= 2 * F.col("k"))
+    sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    measured_ = met.withColumn("plain", F.levenshtein("typed", "word", 4)).where((F.col("plain") >= 0) & (F.col("plain") <= 2 * F.col("k")))
+    pairs = measured_.withColumns({"typed_letters": sorted_("typed"), "letters": sorted_("word")})
     swapped = (F.col("plain") > 1) & ((F.col("plain") <= F.col("k")) | (F.levenshtein("typed_letters", "letters") <= 2 * (2 * F.col("k") - F.col("plain"))))
-    measured = pairs.where(swapped).withColumn("distance", _distance("typed", "word")).where(F.col("distance") <= F.col("k"))
-    scored = pairs.where("plain <= 1").withColumn("distance", F.col("plain")).unionByName(measured).withColumn("other", F.col("typed_letters") != F.col("letters"))
+    distance = F.when(F.col("plain") <= 1, F.col("plain")).otherwise(_distance(F.when(F.col("plain") > 1, F.col("typed")), "word"))
+    scored = pairs.where((F.col("plain") <= 1) | swapped).withColumn("distance", distance).where(F.col("distance") <= F.col("k")).join(known, "word").withColumn("other", F.col("typed_letters") != F.col("letters"))
+    scored = cut(scored.select("typed", "word", "uses", "distance", "other"), "spelling-pairs")
     best = scored.groupBy("typed").agg(F.min(F.struct("distance", "other")).alias("best"))
     level = scored.join(best, "typed").where((F.col("distance") == F.col("best.distance")) & (F.col("other") == F.col("best.other")))
     first = level.groupBy("typed").agg(F.min(F.struct((-F.col("uses")).alias("u"), F.col("word").alias("w"), "distance")).alias("first"))
